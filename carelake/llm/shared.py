@@ -8,9 +8,12 @@ import string
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ROWS_PER_FILE = 200_000
+
 
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, as named by the session.
@@ -26,25 +29,23 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder, so that lost executors never lose them and lineage ends there."""
+    """Intermediate tables of one call.
+
+    keep() holds a table on the executors' disks; what a lost executor held is computed anew. write() puts a table
+    into the shared folder and so cuts lineage, as loops need.
+    """
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
         self.root = f"{scratch_root(spark)}/{what}-{uuid.uuid4().hex}"
 
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df once and return the written table."""
-        df.write.mode("overwrite").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
+    def keep(self, df: DataFrame) -> DataFrame:
+        return df.persist(StorageLevel.DISK_ONLY)
 
-    def drop(self, name: str) -> None:
-        """Delete a table that no later step reads."""
-        sc = self.spark.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    def write(self, df: DataFrame, name: str, rows: int) -> DataFrame:
+        """Write df, of at most so many rows, in files of up to ROWS_PER_FILE, and return the written table."""
+        df.coalesce(1 + rows // ROWS_PER_FILE).write.mode("overwrite").parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
 
 def ascii_lower(text: Column) -> Column:
