@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from carelake.llm import tokens
 from carelake.llm.shared import Scratch
+from carelake.shipping import ship
 
 #: Masks of weight 6 and span up to 11: with one word in four substituted some window still hits.
 MASKS = ("111111", "1101011001", "11100010111", "10110100111", "1010101010101")
@@ -142,6 +143,7 @@ def contaminated(
     benchmark's size; it only spares rows, and the join decides.
     """
     spark = docs.sparkSession
+    ship(spark)
     scratch = Scratch(spark, "leaks")
     docs, benchmark = docs.select("doc_id", "text"), benchmark.select("item_id", "text").distinct()
     short = max(len(m) for m in masks)

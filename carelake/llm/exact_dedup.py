@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from carelake.shipping import ship
 
 TRIE_BYTES = 64 << 20
 _PARTIAL = pa.schema(
@@ -170,6 +171,7 @@ def exact_duplicates(docs: DataFrame, largest: bool = True, trie_bytes: int = TR
     repeat a doc_id within a group are each counted, and each kept if that id owns it. Extra columns are ignored.
     An empty table gives an empty result. A trie over trie_bytes hands its largest subtree on to the shuffle.
     """
+    ship(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     partial = docs.mapInArrow(
         _combiner(largest, trie_bytes), "length long, digest string, text binary, owner long, n long"

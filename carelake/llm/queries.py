@@ -6,10 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from carelake.llm.decontaminate import contaminated
 from carelake.llm.exact_dedup import exact_duplicates
+from carelake.llm.langid import identify
+from carelake.llm.mixing import mix
 from carelake.llm.near_dedup import near_duplicates
 from carelake.llm.shared import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -22,12 +28,18 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).taken
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_language_id,
         op2_benchmark_decontamination,
         op5_exact_dedup,
         op7_minhash_near_dedup,
+        op8_source_mixing,
     )
 }
 
