@@ -12,18 +12,15 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
     """Component root of each vertex that has an edge: (id, root), root the smallest id of its component.
 
     edges has columns a and b of one orderable type. Each round contracts every neighbourhood towards its
-    minimum, so the number of rounds grows with the logarithm of a component's size. Every round's edges are
-    written to the shared folder, which cuts lineage and survives lost executors; only a count and a checksum
-    of the edges reach the driver. Nulls and self-links are ignored; an empty input gives an empty result.
+    minimum, so the number of rounds grows with the logarithm of a component's size. Each round is written to the
+    shared folder, which cuts lineage; only a count and a checksum of the edges reach the driver. Nulls and self-links are ignored; an empty input gives an empty result.
     """
-    now = scratch.table(_clean(edges), f"{name}-0")
+    now = scratch.write(_clean(edges), f"{name}-0", edges.count())
     mark, step = _fingerprint(now), 0
     while mark[0]:
         step += 1
-        new = scratch.table(_star(_star(now, larger_only=True), larger_only=False), f"{name}-{step}")
-        scratch.drop(f"{name}-{step - 1}")
-        now, before = new, mark
-        mark = _fingerprint(now)
+        now = scratch.write(_star(_star(now, larger_only=True), larger_only=False), f"{name}-{step}", mark[0])
+        before, mark = mark, _fingerprint(now)
         if mark == before:
             break
     roots = now.select(F.col("b").alias("root")).distinct().select(F.col("root").alias("id"), "root")

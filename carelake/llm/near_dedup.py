@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 from carelake.llm import tokens
 from carelake.llm.components import components
 from carelake.llm.shared import Scratch
+from carelake.shipping import ship
 
 HALVES = 12
 SHINGLE = 5
+SMALL = 16
 _SIGNED = "doc_id long, n_shingles long, cls string, left array<long>, right array<long>"
 
 
@@ -82,7 +84,7 @@ def _signer(shingle: int, halves: int):
 
 
 def _setter(shingle: int):
-    """A mapInArrow function: (cls, text) to (cls, found, shingles), the full sets for verification."""
+    """A mapInArrow function: (id, cls, text) to (id, cls, found, shingles), the full sets for verification."""
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,168 +95,173 @@ def _setter(shingle: int):
                 values = pa.array(np.concatenate(sets).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [
+                        batch.column("id").slice(lo, hi - lo),
                         batch.column("cls").slice(lo, hi - lo),
                         pa.array([_class_of(s) for s in sets], pa.string()),
                         pa.ListArray.from_arrays(pa.array(ends), values),
                     ],
-                    names=["cls", "found", "shingles"],
+                    names=["id", "cls", "found", "shingles"],
                 )
 
     return full_sets
 
 
+def _fits(percent: int, n: str = "na", m: str = "nb") -> F.Column:
+    """Whether two sets of these sizes can be similar at all."""
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets have 100 * |intersection| >= percent * |union|."""
-    left = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
+    """The pairs (a, b) of vertices whose full sets have 100 * |intersection| >= percent * |union|."""
+    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     return (
         pairs.join(left, "a")
         .join(right, "b")
-        .withColumn("both", both)
+        .withColumn("both", F.size(F.array_intersect("sa", "sb")))
         .where(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both")))
         .select("a", "b")
     )
 
 
 def _bucket_rows(classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, cls) rows of the tables in which a class may meet another.
+    """(key, id, n, first, first_n) rows of the tables in which a class may meet another.
 
     A table key can only be shared if both its half-keys are, so half-keys of one class alone are dropped
     before the two collections are paired.
     """
     halves = classes.select(
-        "cls",
+        F.col("rep").alias("id"),
+        "n",
         F.posexplode(F.concat("left", "right")).alias("slot", "half"),
         F.size("left").alias("m"),
     )
-    met = (
-        halves.groupBy("slot", "half")
-        .agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"))
-        .where("lo < hi")
-        .select("slot", "half")
-    )
+    met = halves.groupBy("slot", "half").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
     kept = (
-        halves.join(met, ["slot", "half"])
-        .groupBy("cls")
+        halves.join(met.select("slot", "half"), ["slot", "half"])
+        .groupBy("id", "n")
         .agg(
             F.collect_list(F.when(F.col("slot") < F.col("m"), F.xxhash64("slot", "half"))).alias("l"),
             F.collect_list(F.when(F.col("slot") >= F.col("m"), F.xxhash64("slot", "half"))).alias("r"),
         )
     )
-    rows = kept.select("cls", "r", F.explode("l").alias("lk")).select("cls", "lk", F.explode("r").alias("rk"))
-    rows = scratch.table(rows.select(F.xxhash64("lk", "rk").alias("key"), "cls"), "rows")
+    rows = kept.select("id", "n", "r", F.explode("l").alias("lk")).select("id", "n", "lk", F.explode("r").alias("rk"))
+    rows = scratch.keep(rows.select(F.xxhash64("lk", "rk").alias("key"), "id", "n"))
     shared = (
         rows.groupBy("key")
-        .agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"))
-        .where("lo < hi")
-        .select("key", F.col("lo").alias("first"))
+        .agg(F.min("id").alias("first"), F.max("id").alias("hi"), F.min_by("n", "id").alias("first_n"))
+        .where("first < hi")
+        .drop("hi")
     )
-    return scratch.table(rows.join(shared, "key"), "buckets")
+    return scratch.write(rows.join(shared, "key"), "buckets", rows.count())
 
 
-def _rare_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _small_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components within tables of few rows, but for those already compared with the first."""
+    left = rows.where("id != first").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+    right = rows.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _fits(percent))
+    return pairs.select("a", "b").distinct()
+
+
+def _rare_pairs(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs of members of different components that can still be similar: the prefix filter.
 
-    members is (cls, comp). Shingles are ordered by how many members hold them; two sets with the wanted
+    members is (id, comp). Shingles are ordered by how many members hold them; two sets with the wanted
     similarity share one of their rarest |s| - ceil(percent * |s| / 100) + 1 shingles. Within a shingle the
     component that holds most of it is never paired with itself.
     """
-    held = members.join(sets, "cls").select("cls", "comp", "shingles")
-    count = held.select(F.explode("shingles").alias("s")).groupBy("s").count().where("count > 1")
-    common = (
-        held.select("cls", F.explode("shingles").alias("s"))
-        .join(count, "s")
-        .groupBy("cls")
+    held = members.join(sets, "id").select("id", "comp", "cls", F.size("shingles").alias("n"), "shingles")
+    each = scratch.keep(held.select("id", "comp", "cls", "n", F.explode("shingles").alias("s")))
+    count = each.groupBy("s").count().where("count > 1")
+    shared = (
+        each.join(count, "s")
+        .groupBy("cls", "id", "comp", "n")
         .agg(F.sort_array(F.collect_list(F.struct("count", "s"))).alias("shared"))
     )
-    size = F.size("shingles")
     # Shingles of one member alone come first in the order and lead nowhere.
-    prefix = size - F.ceil(size * percent / 100).cast("int") + 1 - (size - F.size("shared"))
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1 - (F.col("n") - F.size("shared"))
     rows = (
-        held.join(common, "cls")
-        .withColumn("prefix", prefix)
+        shared.withColumn("prefix", prefix)
         .where("prefix > 0")
-        .select("cls", "comp", size.alias("n"), F.explode(F.slice("shared", F.lit(1), F.col("prefix"))).alias("x"))
-        .select("cls", "comp", "n", F.col("x.s").alias("s"))
+        .select("id", "comp", "n", F.explode(F.slice("shared", F.lit(1), F.col("prefix"))).alias("x"))
+        .select("id", "comp", "n", F.col("x.s").alias("s"))
     )
-    per = rows.groupBy("s", "comp").count()
+    rows = scratch.keep(rows)
     top = (
-        per.groupBy("s")
+        rows.groupBy("s", "comp")
+        .count()
+        .groupBy("s")
         .agg(F.max_by("comp", F.struct("count", "comp")).alias("top"), F.count("*").alias("comps"))
         .where("comps > 1")
         .select("s", "top")
     )
-    rows = rows.join(top, "s")
-    minor = rows.where("comp != top").select(
-        "s", F.col("cls").alias("x"), F.col("comp").alias("xc"), F.col("n").alias("xn")
+    mixed = rows.join(top, "s")
+    minor = mixed.where("comp != top").select(
+        "s", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nb")
     )
-    pairs = minor.join(rows.select("s", "cls", "comp", "n"), "s").where("comp != xc")
-    fits = (100 * F.least("n", "xn")) >= percent * F.greatest("n", "xn")
-    return pairs.where(fits).select(F.least("cls", "x").alias("a"), F.greatest("cls", "x").alias("b")).distinct()
+    pairs = minor.join(mixed.select("s", "id", "comp", F.col("n").alias("na")), "s")
+    pairs = pairs.where((F.col("comp") != F.col("cx")) & _fits(percent))
+    return pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE, halves: int = HALVES) -> DataFrame:
     """One row per document: (doc_id, n_shingles, component_id, kept).
 
-    Documents with equal shingle sets form a class and are only counted. Classes that meet in a table are first
-    compared with the table's smallest class, verified on full sets and joined to components; pairs of classes
-    that share a table but are still apart are then searched exactly with a prefix filter. So no link is lost
-    among classes that meet, yet no table is expanded into all its pairs.
+    Documents with equal shingle sets form a class, whose smallest doc_id is a vertex. Vertices that meet in a
+    table are first compared with the table's smallest one, verified on full sets. Pairs that share a table but
+    are still in different components are then compared too: directly in tables of up to SMALL rows, and through
+    a prefix filter, which is exact, in larger ones. So no link is lost among classes that meet, yet no large
+    table is expanded into all its pairs.
 
-    A null or empty text, or one without words, has no shingles: it is linked with nothing and stays. Rows that
-    repeat a doc_id count as one document. A null doc_id never names a component that has another id; alone it
-    names its own and stays. Extra columns are ignored. An empty table gives an empty result.
+    A null or empty text, or one without words, has no shingles: it is linked with nothing and stays. So is a
+    row with a null doc_id. Rows that repeat a doc_id count as one document, with the links of all its texts.
+    Extra columns are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    ship(spark)
     scratch = Scratch(spark, "near")
     docs = docs.select("doc_id", "text")
-    signed = scratch.table(docs.mapInArrow(_signer(shingle, halves), _SIGNED), "signed")
+    signed = scratch.keep(docs.mapInArrow(_signer(shingle, halves), _SIGNED))
     classes = (
-        signed.where("cls is not null")
+        signed.where("cls is not null and doc_id is not null")
         .groupBy("cls")
-        .agg(F.min("doc_id").alias("rep"), F.first("left").alias("left"), F.first("right").alias("right"))
+        .agg(
+            F.min("doc_id").alias("rep"),
+            F.first("n_shingles").alias("n"),
+            F.first("left").alias("left"),
+            F.first("right").alias("right"),
+        )
     )
-    classes = scratch.table(classes, "classes")
+    classes = scratch.keep(classes)
     buckets = _bucket_rows(classes, scratch)
-    scratch.drop("rows")
-
-    members = buckets.select("cls").distinct()
-    carriers = classes.join(members, "cls").select("cls", F.col("rep").alias("doc_id"))
-    texts = docs.join(carriers, docs.doc_id.eqNullSafe(carriers.doc_id)).select("cls", "text")
-    sets = texts.mapInArrow(_setter(shingle), "cls string, found string, shingles array<long>")
-    sets = sets.where("cls = found").select("cls", "shingles").dropDuplicates(["cls"])
-    sets = scratch.table(sets, "sets")
-
-    stars = buckets.where("cls > first").select(F.col("first").alias("a"), F.col("cls").alias("b")).distinct()
-    links = scratch.table(_verified(stars, sets, percent), "links")
-    roots = components(links, scratch, "first")
 
-    labelled = buckets.join(roots.withColumnRenamed("id", "cls"), "cls", "left").select(
-        "key", "cls", F.coalesce("root", "cls").alias("comp")
+    carriers = classes.join(buckets.select(F.col("id").alias("rep")).distinct(), "rep").select("cls", "rep")
+    texts = docs.join(carriers, docs.doc_id == carriers.rep).select(F.col("rep").alias("id"), "cls", "text")
+    sets = texts.mapInArrow(_setter(shingle), "id long, cls string, found string, shingles array<long>")
+    sets = scratch.keep(sets.where("cls = found").drop("found").dropDuplicates(["id", "cls"]))
+
+    stars = buckets.where("id > first").withColumnsRenamed({"n": "nb", "first_n": "na"}).where(_fits(percent))
+    stars = stars.select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    links = scratch.keep(_verified(stars, sets, percent))
+
+    # One or two hops already tell most members of a group that they are connected.
+    label = links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("comp"))
+    hop = label.select(F.col("id").alias("comp"), F.col("comp").alias("next"))
+    label = label.join(hop, "comp", "left").select("id", F.coalesce("next", "comp").alias("comp"))
+    labelled = buckets.join(label, "id", "left").select("key", "id", "n", "first", F.coalesce("comp", "id").alias("comp"))
+    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows"))
+    mixed = mixed.where("lo < hi and rows > 2").select("key", "rows")
+    apart = scratch.write(labelled.join(mixed, "key"), "apart", labelled.count())
+    pairs = _small_pairs(apart.where(F.col("rows") <= SMALL), percent).union(
+        _rare_pairs(apart.where(F.col("rows") > SMALL).select("id", "comp").distinct(), sets, percent, scratch)
     )
-    labelled = scratch.table(labelled, "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    apart = labelled.join(mixed, "key").select("cls", "comp").distinct()
-    apart = scratch.table(apart, "apart")
-    more = scratch.table(_verified(_rare_pairs(apart, sets, percent), sets, percent), "more")
-
-    roots = components(links.union(more), scratch, "all")
-    named = (
-        classes.select("cls", "rep")
-        .join(roots.withColumnRenamed("id", "cls"), "cls")
-        .groupBy("root")
-        .agg(F.min("rep").alias("component"))
-    )
-    moved = (
-        classes.select("cls", "rep")
-        .join(roots.withColumnRenamed("id", "cls"), "cls", "left")
-        .join(named, "root", "left")
-        .select("cls", F.coalesce("component", "rep").alias("component"))
-    )
-    out = signed.select("doc_id", "n_shingles", "cls").join(moved, "cls", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select(
+    more = _verified(pairs.distinct(), sets, percent)
+
+    roots = components(scratch.keep(links.union(more)), scratch)
+    moved = signed.join(classes.select("cls", "rep"), "cls", "left").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id"))
+    return moved.select(
         "doc_id",
         "n_shingles",
         component.alias("component_id"),
