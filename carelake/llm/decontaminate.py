@@ -15,14 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carelake.llm import tokens
-from carelake.llm.shared import Scratch
+from carelake.llm.shared import Scratch, bitmap, in_bitmap
 from carelake.shipping import ship
 
 #: Masks of weight 6 and span up to 11: with one word in four substituted some window still hits.
 MASKS = ("111111", "1101011001", "11100010111", "10110100111", "1010101010101")
 MIN_WORDS = 8
 PERCENT = 75
-FILTER_BITS = 1 << 24
 
 
 def seeds(words: np.ndarray, mask: str, salt: int) -> np.ndarray:
@@ -38,23 +37,14 @@ def seeds(words: np.ndarray, mask: str, salt: int) -> np.ndarray:
         return tokens.mix(out)
 
 
-def _whole(words: np.ndarray) -> np.ndarray:
-    """The hash of all words of a text shorter than MIN_WORDS, which no mask need fit."""
-    return tokens.window_hashes(words, len(words)) if len(words) else np.zeros(0, np.uint64)
-
-
-def _bits(hashes: np.ndarray) -> np.ndarray:
-    return (hashes & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-
-
-def _seeder(id_column: str, masks, present: bytes | None, lengths: tuple[int, ...]):
+def _seeder(id_column: str, masks, present, lengths: tuple[int, ...]):
     """A mapInArrow function from texts to (id, pos, hash) rows, of windows that the filter lets through.
 
     lengths are the word counts of benchmark items that are too short for the masks; those are sought whole.
     """
 
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = None if present is None else np.unpackbits(np.frombuffer(present, np.uint8)).view(bool)
+        bits = None if present is None else present.value
         for batch in batches:
             raw, offsets = tokens.text_buffers(batch.column("text"))
             ids = batch.column(id_column).cast(pa.int64())
@@ -63,14 +53,14 @@ def _seeder(id_column: str, masks, present: bytes | None, lengths: tuple[int, ..
                 found_at, found = [], []
                 for salt, mask in enumerate(masks):
                     h = seeds(words, mask, salt)
-                    at = np.arange(len(h)) if bits is None else np.flatnonzero(bits[_bits(h)])
+                    at = np.arange(len(h)) if bits is None else np.flatnonzero(in_bitmap(bits, h))
                     row = np.searchsorted(first, at, "right") - 1
                     inside = at + len(mask) <= first[row + 1] if len(at) else at > 0
                     found_at.append(at[inside])
                     found.append(h[at[inside]])
                 for n in lengths:
                     h = tokens.window_hashes(words, n)
-                    at = np.arange(len(h)) if bits is None else np.flatnonzero(bits[_bits(h)])
+                    at = np.arange(len(h)) if bits is None else np.flatnonzero(in_bitmap(bits, h))
                     row = np.searchsorted(first, at, "right") - 1
                     inside = (at + n <= first[row + 1]) if len(at) else at > 0
                     if bits is None:  # benchmark side: only whole short items
@@ -139,7 +129,7 @@ def contaminated(
     min_words equal words on, or from the whole item where that is shorter. Words are compared with A-Z
     lower-cased. Null, empty and wordless texts overlap with nothing; nor does anything with an empty benchmark.
     Rows that repeat a doc_id with the same text give one row; a null doc_id or item_id is reported as null.
-    Extra columns are ignored. Only a filter of FILTER_BITS bits over benchmark hashes is broadcast, whatever the
+    Extra columns are ignored. Only a bitmap of fixed size over benchmark hashes is broadcast, whatever the
     benchmark's size; it only spares rows, and the join decides.
     """
     spark = docs.sparkSession
@@ -154,8 +144,9 @@ def contaminated(
     wanted = scratch.keep(
         benchmark.mapInArrow(_seeder("item_id", masks, None, tuple(lengths)), "item_id long, pos long, hash long")
     )
+    present = spark.sparkContext.broadcast(bitmap(wanted, "hash"))
     docs_hits = docs.mapInArrow(
-        _seeder("doc_id", masks, _filter(wanted), tuple(lengths)), "doc_id long, pos long, hash long"
+        _seeder("doc_id", masks, present, tuple(lengths)), "doc_id long, pos long, hash long"
     )
     hits = (
         docs_hits.join(wanted.withColumnRenamed("pos", "item_pos"), "hash")
@@ -175,17 +166,3 @@ def contaminated(
     schema = ", ".join(f"{c} long" for c in _FOUND)
     return pairs.mapInPandas(_verifier(percent, min_words), schema)
 
-
-def _filter(wanted: DataFrame) -> bytes:
-    """A bitmap of the benchmark's hashes, of fixed size: distinct words of 8 bits are all that is collected."""
-    slot = (F.col("hash").bitwiseAND(F.lit(FILTER_BITS - 1))).cast("int")
-    rows = (
-        wanted.select(slot.alias("slot"))
-        .distinct()
-        .groupBy(F.shiftright("slot", 3).alias("byte"))
-        .agg(F.bit_or(F.expr("cast(shiftright(128, slot & 7) as int)")).alias("v"))
-    )
-    table = rows.toArrow()
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    out[table["byte"].to_numpy()] = table["v"].to_numpy()
-    return out.tobytes()

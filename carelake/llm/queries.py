@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from carelake.llm.decontaminate import contaminated
 from carelake.llm.exact_dedup import exact_duplicates
 from carelake.llm.langid import identify
+from carelake.llm.lm_scoring import score
 from carelake.llm.mixing import mix
 from carelake.llm.near_dedup import near_duplicates
 from carelake.llm.shared import table
@@ -32,6 +33,10 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).taken
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -40,6 +45,7 @@ QUERIES = {
         op5_exact_dedup,
         op7_minhash_near_dedup,
         op8_source_mixing,
+        op9_lm_scoring,
     )
 }
 

@@ -8,6 +8,7 @@ import string
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,3 +59,28 @@ def ascii_lower(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+FILTER_BITS = 1 << 24
+
+
+def bitmap(df: DataFrame, column: str) -> np.ndarray:
+    """One bit for each value of the low bits of an integer column, set where some row has it.
+
+    Its size is fixed, so it may be broadcast whatever the table; it spares rows before a join that decides.
+    """
+    slot = F.col(column).bitwiseAND(F.lit(FILTER_BITS - 1)).cast("int")
+    rows = (
+        df.select(slot.alias("slot"))
+        .distinct()
+        .groupBy(F.shiftright("slot", 3).alias("byte"))
+        .agg(F.bit_or(F.expr("cast(shiftright(128, slot & 7) as int)")).alias("v"))
+    )
+    found = rows.toArrow()
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    out[found["byte"].to_numpy()] = found["v"].to_numpy()
+    return np.unpackbits(out).view(bool)
+
+
+def in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    return bits[values.astype(np.int64) & (FILTER_BITS - 1)]
