@@ -9,6 +9,7 @@ from carelake.llm import chat
 from carelake.llm.decontaminate import contaminated
 from carelake.llm.exact_dedup import exact_duplicates
 from carelake.llm.langid import identify
+from carelake.llm.line_dedup import duplicate_lines
 from carelake.llm.lm_scoring import score
 from carelake.llm.mixing import mix
 from carelake.llm.near_dedup import near_duplicates
@@ -33,6 +34,10 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chat(rows))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicate_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "dropped")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -65,6 +70,7 @@ QUERIES = {
         op1_language_id,
         op2_benchmark_decontamination,
         op3_chat_formatting,
+        op4_line_dedup,
         op5_exact_dedup,
         op6_warc_transactions,
         op7_minhash_near_dedup,
