@@ -13,6 +13,7 @@ from carelake.llm.line_dedup import duplicate_lines
 from carelake.llm.lm_scoring import score
 from carelake.llm.mixing import mix
 from carelake.llm.near_dedup import near_duplicates
+from carelake.llm.secret_scan import document_secrets
 from carelake.llm.shared import table
 from carelake.llm.warc import page_captures
 
@@ -64,6 +65,10 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_secrets(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -76,6 +81,7 @@ QUERIES = {
         op7_minhash_near_dedup,
         op8_source_mixing,
         op9_lm_scoring,
+        op10_secret_scan,
     )
 }
 
