@@ -2,10 +2,39 @@
 
 from __future__ import annotations
 
+import importlib
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+MODULES = ("adherence", "schedules", "vitals")
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function of (spark, sf_dir) under its name, with the SQL that gives the same rows."""
+
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"carelake.plans.{name}")
+
 
 def queries() -> dict:
-    return {}
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    _load()
+    return dict(_SQL)
