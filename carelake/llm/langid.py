@@ -106,19 +106,21 @@ class LanguageModel:
 
 
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, landmarks: int = LANDMARKS, ridge: float = RIDGE):
-    """Fit on (lang, text) rows: at most sample_rows of them, an equal share of each language, taken by hash."""
+    """Fit on (doc_id, lang, text) rows: at most sample_rows of them, as many of each language, taken by hash.
+
+    Of more languages than sample_rows only the most frequent are learned.
+    """
     labelled = labelled.where("lang is not null and text is not null").select(
-        "lang", "text", (F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)).alias("draw")
+        "lang", "text", (F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 30)) / float(1 << 30)).alias("draw")
     )
-    counts = labelled.groupBy("lang").count()
-    share = counts.select(F.count("*")).first()[0]
-    if not share:
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang")
+    counts = [tuple(r) for r in counts.limit(sample_rows).collect()]
+    if not counts:
         return LanguageModel([], np.zeros(0, np.int32), np.zeros((0, 0), np.float32), np.zeros(0, np.float32))
-    quota = max(1, sample_rows // share)
+    quota = max(1, sample_rows // len(counts))
     # A first cut by hash leaves each language about twice its quota, however many rows it has.
-    near = labelled.join(counts.withColumnRenamed("count", "rows"), "lang").where(
-        F.col("draw") * F.col("rows") < 2.0 * quota + 50
-    )
+    known = F.broadcast(labelled.sparkSession.createDataFrame(counts, "lang string, rows long"))
+    near = labelled.join(known, "lang").where(F.col("draw") * F.col("rows") < 2.0 * quota + 50)
     order = W.Window.partitionBy("lang").orderBy("draw", "text")
     taken = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= quota).select("lang", "text")
     return _solve(taken.mapInArrow(_presence, "lang string, codes array<int>").toPandas(), landmarks, ridge)

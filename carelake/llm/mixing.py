@@ -20,7 +20,7 @@ from carelake.llm import tokens
 from carelake.llm.shared import Scratch
 from carelake.shipping import ship
 
-BLOCK_WORDS = 256
+BLOCK_WORDS = 64
 BUCKET_WORDS = 1 << 16
 SHARD_SLOTS = 4096
 MOST_REPEATS = 3

@@ -18,13 +18,13 @@ from pyspark.sql import functions as F
 
 from carelake.llm import tokens
 from carelake.llm.components import components
-from carelake.llm.shared import Scratch
+from carelake.llm.shared import Scratch, bitmap, in_bitmap
+from carelake.llm.similarity import links
 from carelake.shipping import ship
 
 HALVES = 12
 SHINGLE = 5
-SMALL = 16
-_SIGNED = "doc_id long, n_shingles long, cls string, left array<long>, right array<long>"
+_SIGNED = "doc_id long, n_shingles long, cls string, halves array<int>"
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -47,6 +47,7 @@ def _class_of(shingles: np.ndarray) -> str | None:
 def _signer(shingle: int, halves: int):
     """A mapInArrow function: documents to set sizes, set digests and the two collections of half-keys."""
     keys = tokens.stream(11, 4 * halves)
+    slots = np.arange(2 * halves, dtype=np.uint64)[:, None]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,66 +63,66 @@ def _signer(shingle: int, halves: int):
                     with np.errstate(over="ignore"):
                         for k, key in enumerate(keys):
                             mins[k] = np.minimum.reduceat((every ^ key) * (key | np.uint64(1)), at)
-                        half = tokens.mix(mins[0::2] * np.uint64(3) + tokens.mix(mins[1::2]))
+                        half = tokens.mix(mins[0::2] * np.uint64(3) + tokens.mix(mins[1::2]) + slots) >> np.uint64(32)
                 else:
                     half = mins[0::2]
-                sides = []
-                for side in (half[:halves], half[halves:]):
-                    values = pa.array(np.ascontiguousarray(side.T).view(np.int64).ravel())
-                    ends = np.concatenate(([0], np.cumsum(np.where(sizes > 0, halves, 0)))).astype(np.int32)
-                    sides.append(pa.ListArray.from_arrays(pa.array(ends), values))
+                # The lowest bit tells the collection: 0 for the left, 1 for the right one.
+                half = (half & ~np.uint64(1)) | (slots >= halves).astype(np.uint64)
+                values = pa.array(np.ascontiguousarray(half.T).ravel().astype(np.uint32).view(np.int32))
+                ends = np.concatenate(([0], np.cumsum(np.where(sizes > 0, 2 * halves, 0)))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()),
                         pa.array(sizes),
                         pa.array([_class_of(s) for s in sets], pa.string()),
-                        *sides,
+                        pa.ListArray.from_arrays(pa.array(ends), values),
                     ],
-                    names=["doc_id", "n_shingles", "cls", "left", "right"],
+                    names=["doc_id", "n_shingles", "cls", "halves"],
                 )
 
     return sign
 
 
-def _setter(shingle: int):
-    """A mapInArrow function: (id, cls, text) to (id, cls, found, shingles), the full sets for verification."""
+def _short(shingles: np.ndarray) -> np.ndarray:
+    """32 bits of each hash. Two different shingles of a pair of documents agree in them once in 10,000 pairs."""
+    return (shingles >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def _setter(shingle: int, wanted):
+    """A mapInArrow function: (doc_id, text) to (id, cls, shingles), the full sets of documents in a bitmap."""
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids = batch.column("doc_id").cast(pa.int64())
+            named = ids.is_valid().to_numpy(zero_copy_only=False)
+            keep = np.flatnonzero(in_bitmap(wanted.value, ids.fill_null(0).to_numpy()) & named)
+            batch, ids = batch.take(pa.array(keep)), ids.take(pa.array(keep))
             raw, offsets = tokens.text_buffers(batch.column("text"))
             for lo, hi in tokens.slices(offsets, 1 << 20):
                 sets = list(shingle_sets(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], shingle))
                 ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-                values = pa.array(np.concatenate(sets).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("id").slice(lo, hi - lo),
-                        batch.column("cls").slice(lo, hi - lo),
+                        ids.slice(lo, hi - lo),
                         pa.array([_class_of(s) for s in sets], pa.string()),
-                        pa.ListArray.from_arrays(pa.array(ends), values),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(_short(np.concatenate(sets)))),
                     ],
-                    names=["id", "cls", "found", "shingles"],
+                    names=["id", "cls", "shingles"],
                 )
 
     return full_sets
 
 
-def _fits(percent: int, n: str = "na", m: str = "nb") -> F.Column:
-    """Whether two sets of these sizes can be similar at all."""
-    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+def _agreeing(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+    """The pairs (a, b) with at least so many equal half-keys, which spares moving the full sets of most others.
 
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of vertices whose full sets have 100 * |intersection| >= percent * |union|."""
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    return (
-        pairs.join(left, "a")
-        .join(right, "b")
-        .withColumn("both", F.size(F.array_intersect("sa", "sb")))
-        .where(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both")))
-        .select("a", "b")
-    )
+    A pair at similarity 0.75 shares each half-key with probability 0.56; that it has fewer than a sixth of
+    them in common happens once in 100,000 times with 24 half-keys.
+    """
+    left = classes.select(F.col("rep").alias("a"), F.col("halves").alias("ka"))
+    right = classes.select(F.col("rep").alias("b"), F.col("halves").alias("kb"))
+    equal = F.aggregate(F.zip_with("ka", "kb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    return pairs.join(left, "a").join(right, "b").where(equal >= least).select("a", "b").distinct()
 
 
 def _bucket_rows(classes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -130,20 +131,14 @@ def _bucket_rows(classes: DataFrame, scratch: Scratch) -> DataFrame:
     A table key can only be shared if both its half-keys are, so half-keys of one class alone are dropped
     before the two collections are paired.
     """
-    halves = classes.select(
-        F.col("rep").alias("id"),
-        "n",
-        F.posexplode(F.concat("left", "right")).alias("slot", "half"),
-        F.size("left").alias("m"),
-    )
-    met = halves.groupBy("slot", "half").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
+    halves = classes.select(F.col("rep").alias("id"), F.explode("halves").alias("half"))
+    met = halves.groupBy("half").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("half")
+    left = F.col("half").bitwiseAND(F.lit(1)) == 0
     kept = (
-        halves.join(met.select("slot", "half"), ["slot", "half"])
-        .groupBy("id", "n")
-        .agg(
-            F.collect_list(F.when(F.col("slot") < F.col("m"), F.xxhash64("slot", "half"))).alias("l"),
-            F.collect_list(F.when(F.col("slot") >= F.col("m"), F.xxhash64("slot", "half"))).alias("r"),
-        )
+        halves.join(met, "half")
+        .groupBy("id")
+        .agg(F.collect_list(F.when(left, F.col("half"))).alias("l"), F.collect_list(F.when(~left, F.col("half"))).alias("r"))
+        .join(classes.groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("n")), "id")
     )
     rows = kept.select("id", "n", "r", F.explode("l").alias("lk")).select("id", "n", "lk", F.explode("r").alias("rk"))
     rows = scratch.keep(rows.select(F.xxhash64("lk", "rk").alias("key"), "id", "n"))
@@ -156,63 +151,11 @@ def _bucket_rows(classes: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.write(rows.join(shared, "key"), "buckets", rows.count())
 
 
-def _small_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components within tables of few rows, but for those already compared with the first."""
-    left = rows.where("id != first").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    right = rows.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _fits(percent))
-    return pairs.select("a", "b").distinct()
-
-
-def _rare_pairs(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Pairs of members of different components that can still be similar: the prefix filter.
-
-    members is (id, comp). Shingles are ordered by how many members hold them; two sets with the wanted
-    similarity share one of their rarest |s| - ceil(percent * |s| / 100) + 1 shingles. Within a shingle the
-    component that holds most of it is never paired with itself.
-    """
-    held = members.join(sets, "id").select("id", "comp", "cls", F.size("shingles").alias("n"), "shingles")
-    each = scratch.keep(held.select("id", "comp", "cls", "n", F.explode("shingles").alias("s")))
-    count = each.groupBy("s").count().where("count > 1")
-    shared = (
-        each.join(count, "s")
-        .groupBy("cls", "id", "comp", "n")
-        .agg(F.sort_array(F.collect_list(F.struct("count", "s"))).alias("shared"))
-    )
-    # Shingles of one member alone come first in the order and lead nowhere.
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1 - (F.col("n") - F.size("shared"))
-    rows = (
-        shared.withColumn("prefix", prefix)
-        .where("prefix > 0")
-        .select("id", "comp", "n", F.explode(F.slice("shared", F.lit(1), F.col("prefix"))).alias("x"))
-        .select("id", "comp", "n", F.col("x.s").alias("s"))
-    )
-    rows = scratch.keep(rows)
-    top = (
-        rows.groupBy("s", "comp")
-        .count()
-        .groupBy("s")
-        .agg(F.max_by("comp", F.struct("count", "comp")).alias("top"), F.count("*").alias("comps"))
-        .where("comps > 1")
-        .select("s", "top")
-    )
-    mixed = rows.join(top, "s")
-    minor = mixed.where("comp != top").select(
-        "s", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nb")
-    )
-    pairs = minor.join(mixed.select("s", "id", "comp", F.col("n").alias("na")), "s")
-    pairs = pairs.where((F.col("comp") != F.col("cx")) & _fits(percent))
-    return pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
-
-
 def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE, halves: int = HALVES) -> DataFrame:
     """One row per document: (doc_id, n_shingles, component_id, kept).
 
     Documents with equal shingle sets form a class, whose smallest doc_id is a vertex. Vertices that meet in a
-    table are first compared with the table's smallest one, verified on full sets. Pairs that share a table but
-    are still in different components are then compared too: directly in tables of up to SMALL rows, and through
-    a prefix filter, which is exact, in larger ones. So no link is lost among classes that meet, yet no large
-    table is expanded into all its pairs.
+    table are linked as similarity.links() says, so no link is lost among classes that meet.
 
     A null or empty text, or one without words, has no shingles: it is linked with nothing and stays. So is a
     row with a null doc_id. Rows that repeat a doc_id count as one document, with the links of all its texts.
@@ -229,36 +172,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE,
         .agg(
             F.min("doc_id").alias("rep"),
             F.first("n_shingles").alias("n"),
-            F.first("left").alias("left"),
-            F.first("right").alias("right"),
+            F.first("halves").alias("halves"),
         )
     )
-    classes = scratch.keep(classes)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    classes = scratch.keep(classes.repartition(parts, "rep"))
     buckets = _bucket_rows(classes, scratch)
 
-    carriers = classes.join(buckets.select(F.col("id").alias("rep")).distinct(), "rep").select("cls", "rep")
-    texts = docs.join(carriers, docs.doc_id == carriers.rep).select(F.col("rep").alias("id"), "cls", "text")
-    sets = texts.mapInArrow(_setter(shingle), "id long, cls string, found string, shingles array<long>")
-    sets = scratch.keep(sets.where("cls = found").drop("found").dropDuplicates(["id", "cls"]))
-
-    stars = buckets.where("id > first").withColumnsRenamed({"n": "nb", "first_n": "na"}).where(_fits(percent))
-    stars = stars.select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    links = scratch.keep(_verified(stars, sets, percent))
-
-    # One or two hops already tell most members of a group that they are connected.
-    label = links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("comp"))
-    hop = label.select(F.col("id").alias("comp"), F.col("comp").alias("next"))
-    label = label.join(hop, "comp", "left").select("id", F.coalesce("next", "comp").alias("comp"))
-    labelled = buckets.join(label, "id", "left").select("key", "id", "n", "first", F.coalesce("comp", "id").alias("comp"))
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows"))
-    mixed = mixed.where("lo < hi and rows > 2").select("key", "rows")
-    apart = scratch.write(labelled.join(mixed, "key"), "apart", labelled.count())
-    pairs = _small_pairs(apart.where(F.col("rows") <= SMALL), percent).union(
-        _rare_pairs(apart.where(F.col("rows") > SMALL).select("id", "comp").distinct(), sets, percent, scratch)
-    )
-    more = _verified(pairs.distinct(), sets, percent)
-
-    roots = components(scratch.keep(links.union(more)), scratch)
+    members = buckets.select("id").distinct()
+    wanted = spark.sparkContext.broadcast(bitmap(members, "id"))
+    carriers = classes.select(F.col("rep").alias("id"), F.col("cls").alias("class")).join(members, "id")
+    sets = docs.mapInArrow(_setter(shingle, wanted), "id long, cls string, shingles array<int>")
+    sets = sets.repartition(parts, "id").join(carriers.repartition(parts, "id"), "id").where("cls = class").drop("class")
+    sets = scratch.keep(sets.dropDuplicates(["id", "cls"]))
+    edges = links(buckets, sets, percent, scratch, lambda pairs: _agreeing(pairs, classes, halves // 3))
+    roots = components(edges, scratch)
     moved = signed.join(classes.select("cls", "rep"), "cls", "left").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id"))
     return moved.select(

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from carelake.llm.components import components
 from carelake.llm.shared import Scratch
 
 SMALL = 16
@@ -89,7 +90,7 @@ def links(
     """Links (a, b) that connect all vertices of one table whose sets are similar, directly or through others.
 
     buckets holds (key, id, n, first, first_n): the vertices of each table, their set sizes, and the table's smallest
-    vertex; sets holds (id, cls, shingles). Vertices are compared with the smallest one first. Pairs that share a
+    vertex; sets holds (id, cls, shingles), best partitioned by id. Vertices are compared with the smallest one first. Pairs that share a
     table but are still in different components are then compared too: directly in tables of up to SMALL rows, and
     through a prefix filter, which is exact, in larger ones. No large table is expanded into all its pairs. likely
     may drop pairs before full sets are moved.
@@ -98,10 +99,7 @@ def links(
     stars = stars.select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     found = scratch.keep(_verified(likely(stars), sets, percent))
 
-    # One or two hops already tell most members of a group that they are connected.
-    label = found.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("comp"))
-    hop = label.select(F.col("id").alias("comp"), F.col("comp").alias("next"))
-    label = label.join(hop, "comp", "left").select("id", F.coalesce("next", "comp").alias("comp"))
+    label = components(found, scratch, "stars").withColumnRenamed("root", "comp")
     labelled = buckets.join(label, "id", "left").select("key", "id", "n", "first", F.coalesce("comp", "id").alias("comp"))
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows"))
     mixed = mixed.where("lo < hi and rows > 2").select("key", "rows")
