@@ -49,7 +49,7 @@ def format_chat(rows: DataFrame) -> DataFrame:
     """One row per conversation: (conv_id, formatted, loss_runs).
 
     rows has conv_id, turn, role and text. loss_runs is a run-length mask over the code points of formatted: each run
-    has a length and says whether it is trained on, which the texts of assistant turns are. A conversation is one
+    has a length, says whether it is trained on, which the texts of assistant turns are, and whether it is a text. A conversation is one
     string and so one row, whatever its number of turns. Repeated rows are repeated turns; rows with a null conv_id
     form one conversation; extra columns are ignored; an empty table gives no rows.
     """
@@ -79,18 +79,18 @@ def format_chat(rows: DataFrame) -> DataFrame:
         inner = F.transform(
             b["turns"],
             lambda t, i: F.array(
-                _run(F.when(i == 0, opening).otherwise(len(NEXT)), F.lit(False)),
-                _run(F.length(escape(t["text"])), trained),
+                _run(F.when(i == 0, opening).otherwise(len(NEXT)), F.lit(False), False),
+                _run(F.length(escape(t["text"])), trained, True),
             ),
         )
-        return F.concat(F.flatten(inner), F.array(_run(F.lit(len(END)), F.lit(False))))
+        return F.concat(F.flatten(inner), F.array(_run(F.lit(len(END)), F.lit(False), False)))
 
     mask = F.flatten(F.transform("blocks", runs))
     return merged.select("conv_id", formatted.alias("formatted"), mask.alias("loss_runs"))
 
 
-def _run(n: Column, loss: Column) -> Column:
-    return F.struct(n.cast("int").alias("n"), loss.alias("loss"))
+def _run(n: Column, loss: Column, text: bool) -> Column:
+    return F.struct(n.cast("int").alias("n"), loss.alias("loss"), F.lit(text).alias("text"))
 
 
 def parse(formatted: Column) -> Column:
@@ -115,12 +115,30 @@ def _between(block: Column) -> Column:
     return F.substring(block, at + len(MESSAGE), F.length(block) - at + 1 - len(MESSAGE) - len(END))
 
 
+def trained_text(formatted: Column, loss_runs: Column) -> Column:
+    """The text under the loss mask, unescaped: what format_chat's runs mark, read from the formatted string.
+
+    Neither control strings nor the roles between them hold a text, so splitting at those gives the texts in order;
+    a run whose length isn't that of its text is an error.
+    """
+    mark = rf"(?s)(?:\Q{END}\E)?\Q{START}\E.*?\Q{MESSAGE}\E|\Q{NEXT}\E|\Q{END}\E$"
+    pieces = F.split(formatted, mark, -1)
+    texts = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 2, F.lit(0)))
+    marked = F.zip_with(
+        texts,
+        F.filter(loss_runs, lambda r: r["text"]),
+        lambda t, r: F.when(~F.equal_null(F.length(t), r["n"]), F.raise_error(F.lit("a loss run doesn't fit its text")))
+        .when(r["loss"], t)
+        .otherwise(""),
+    )
+    return unescape(F.array_join(marked, ""))
+
+
 def digests(chats: DataFrame) -> DataFrame:
     """Read formatted conversations back: numbers and digests of their turns and of the text under the loss mask."""
     read = chats.withColumn("back", parse(F.col("formatted")))
     every = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    trained = F.array_join(F.transform(F.filter("back", lambda t: t["role"] == TRAINED_ROLE), lambda t: t["text"]), "")
-    return read.withColumn("trained", trained).select(
+    return read.withColumn("trained", trained_text(F.col("formatted"), F.col("loss_runs"))).select(
         "conv_id",
         F.size("back").cast("long").alias("n_turns"),
         F.sha2(every, 256).alias("turns_sha256"),

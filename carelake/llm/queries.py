@@ -90,7 +90,7 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _ESCAPED = (
     "length({0}) + length({0}) - length(replace({0}, chr(92), '')) + length(regexp_replace({0}, '"
     + "|".join(f"({c.replace('|', '[|]').replace('[I', '[[]I').replace('[/', '[[]/')})" for c in chat.CONTROL)
-    + "', '\\0' || chr(92), 'g')) - length({0})"
+    + "', '\\0' || chr(92) || chr(92), 'g')) - length({0})"
 )
 
 ORACLE_SQL: dict[str, str] = {
