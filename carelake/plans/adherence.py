@@ -90,7 +90,7 @@ def today_summary(spark, sf_dir):
 
 
 @query(f"""WITH {DOSES}, g AS (SELECT user_id, medicine_id, count(*) AS scheduled, count(*) FILTER (status = 'TAKEN') AS taken,
-    count(*) FILTER (status IN ('TAKEN', 'MISSED', 'SKIPPED')) AS recorded, max(scheduled_at)::TIMESTAMPTZ AS latest FROM doses GROUP BY 1, 2)
+    count(*) FILTER (status IN ('TAKEN', 'MISSED', 'SKIPPED')) AS recorded, max(scheduled_at) AS latest FROM doses GROUP BY 1, 2)
     SELECT *, CASE WHEN recorded > 0 THEN floor(taken * 10000.0::DOUBLE / recorded + 0.5) / 100.0::DOUBLE END AS adherence FROM g""")
 def report_adherence(spark, sf_dir):
     return A.report(doses(spark, sf_dir))
@@ -140,7 +140,7 @@ def missed_digest(spark, sf_dir):
 @query(f"""WITH {DOSES}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id, medicine_id ORDER BY
     CASE status WHEN 'TAKEN' THEN 5 WHEN 'SNOOZED' THEN 4 WHEN 'SKIPPED' THEN 3 WHEN 'MISSED' THEN 2 ELSE 1 END DESC,
     scheduled_at DESC NULLS LAST, id) AS rn FROM doses)
-    SELECT id, user_id, medicine_id, scheduled_at::TIMESTAMPTZ AS scheduled_at, status FROM r WHERE rn = 1""")
+    SELECT id, user_id, medicine_id, scheduled_at, status FROM r WHERE rn = 1""")
 def dedupe_by_state(spark, sf_dir):
     return A.dedupe_by_state(doses(spark, sf_dir), ["user_id", "medicine_id"]).drop("value")
 

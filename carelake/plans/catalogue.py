@@ -122,7 +122,7 @@ def demand_counter(spark, sf_dir):
 
 
 @query(f"""WITH {DOSES} SELECT user_id, status AS raw, arg_min(medicine_id, (scheduled_at, medicine_id)) AS corrected, count(*) AS uses,
-    max(scheduled_at)::TIMESTAMPTZ AS last_used FROM doses GROUP BY 1, 2""")
+    max(scheduled_at) AS last_used FROM doses GROUP BY 1, 2""")
 def correction_learning(spark, sf_dir):
     log = doses(spark, sf_dir).select("user_id", F.col("status").alias("raw"), F.col("medicine_id").alias("corrected"), F.col("scheduled_at").alias("at"))
     return C.corrections(log)

@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-MODULES = ("adherence", "schedules", "vitals", "stock", "safety", "catalogue")
+MODULES = ("adherence", "schedules", "vitals", "stock", "safety", "catalogue", "matching")
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
-    """Register a function of (spark, sf_dir) under its name, with the SQL that gives the same rows."""
+    """Register a function of (spark, sf_dir) under its name, with the SQL that gives the same rows.
+
+    Points in time leave a query as timestamp_ntz in UTC, which every reader shows alike.
+    """
 
     def add(f):
-        _QUERIES[f.__name__] = f
+        @functools.wraps(f)
+        def run(spark, sf_dir):
+            out = f(spark, sf_dir)
+            return out.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in out.dtypes])
+
+        _QUERIES[f.__name__] = run
         if sql:
             _SQL[f.__name__] = sql
         return f

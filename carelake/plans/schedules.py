@@ -43,7 +43,7 @@ _SCHEDULES = f"""sched AS (SELECT c_custkey AS schedule_id, c_custkey AS user_id
     e AS (SELECT schedule_id, user_id, zone, local_day, unnest(times) AS time FROM d
           WHERE (len(days) = 0 OR list_contains(days, CAST(dayofweek(local_day) AS INTEGER))) AND coalesce(local_day <= end_date, true)),
     w AS (SELECT *, CAST(CAST(local_day AS VARCHAR) || ' ' || time || ':00' AS TIMESTAMP) AS wall FROM e)
-    SELECT schedule_id, user_id, local_day, time, timezone(zone, wall) AS at FROM w
+    SELECT schedule_id, user_id, local_day, time, timezone('UTC', timezone(zone, wall)) AS at FROM w
     WHERE timezone(zone, timezone(zone, wall)) = wall""")
 def schedule_expansion(spark, sf_dir):
     return S.occurrences(_schedules(spark, sf_dir), "2026-03-05", 7)
@@ -61,7 +61,7 @@ _NOW = "2024-01-15 12:00:00"
 
 @query(f"""WITH {DOSES}, d AS (SELECT id, status, scheduled_at, CASE WHEN status = 'SNOOZED' THEN scheduled_at + INTERVAL 600 MINUTE END AS until,
     greatest(scheduled_at + to_minutes(CAST(least(1440, greatest(15, id % 120)) AS INTEGER)), CASE WHEN status = 'SNOOZED' THEN scheduled_at + INTERVAL 600 MINUTE END) AS deadline FROM doses)
-    SELECT id, deadline::TIMESTAMPTZ AS deadline, CASE WHEN status IN ('TAKEN', 'MISSED', 'SKIPPED') THEN status WHEN TIMESTAMP '{_NOW}' >= deadline THEN 'OVERDUE'
+    SELECT id, deadline, CASE WHEN status IN ('TAKEN', 'MISSED', 'SKIPPED') THEN status WHEN TIMESTAMP '{_NOW}' >= deadline THEN 'OVERDUE'
            WHEN status = 'SNOOZED' AND until > TIMESTAMP '{_NOW}' THEN 'SNOOZED'
            WHEN TIMESTAMP '{_NOW}' + INTERVAL 15 MINUTE >= scheduled_at THEN 'DUE' ELSE 'UPCOMING' END AS state FROM d""")
 def dose_states(spark, sf_dir):
@@ -82,8 +82,8 @@ def reminder_states(spark, sf_dir):
 
 @query(f"""WITH {DOSES}, d AS (SELECT id, scheduled_at AS a, scheduled_at + INTERVAL 15 MINUTE AS f,
     scheduled_at + to_minutes(CAST(least(1440, greatest(15, id % 120)) AS INTEGER)) AS deadline FROM doses WHERE status = 'PENDING')
-    SELECT id, 'PRIMARY' AS kind, a::TIMESTAMPTZ AS at FROM d WHERE a > TIMESTAMP '{_NOW}'
-    UNION ALL SELECT id, 'FOLLOW_UP', f::TIMESTAMPTZ FROM d WHERE f > TIMESTAMP '{_NOW}' AND f < deadline""")
+    SELECT id, 'PRIMARY' AS kind, a AS at FROM d WHERE a > TIMESTAMP '{_NOW}'
+    UNION ALL SELECT id, 'FOLLOW_UP', f FROM d WHERE f > TIMESTAMP '{_NOW}' AND f < deadline""")
 def mobile_reminder_plan(spark, sf_dir):
     return S.reminder_plan(doses(spark, sf_dir).withColumn("grace", grace()), _NOW)
 
@@ -108,7 +108,7 @@ def ages(spark, sf_dir):
     )
 
 
-@query(f"""SELECT event_id AS id, CAST(timezone({_SQL_ZONES}[event_id % 4 + 1], ts::TIMESTAMPTZ) AS DATE) AS local_day,
+@query(f"""SELECT event_id AS id, CAST(timezone({_SQL_ZONES}[event_id % 4 + 1], timezone('UTC', ts)) AS DATE) AS local_day,
     CAST(ts + to_minutes(CAST(event_id % 1440 - 720 AS INTEGER)) AS DATE) AS offset_day,
     CAST(least(60.0, pow(2.0, event_id % 9)) AS BIGINT) AS backoff FROM events""")
 def zoned_days(spark, sf_dir):
@@ -123,8 +123,8 @@ def zoned_days(spark, sf_dir):
 
 
 @query("""WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders)
-    SELECT day, timezone('America/New_York', day::TIMESTAMP) AS start,
-           timezone('America/New_York', CAST(day + 1 AS TIMESTAMP)) - INTERVAL 1 MILLISECOND AS finish FROM d""")
+    SELECT day, timezone('UTC', timezone('America/New_York', day::TIMESTAMP)) AS start,
+           timezone('UTC', timezone('America/New_York', CAST(day + 1 AS TIMESTAMP))) - INTERVAL 1 MILLISECOND AS finish FROM d""")
 def zoned_day_bounds(spark, sf_dir):
     days = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
     start, finish = T.day_bounds(F.col("day"), F.lit("America/New_York"))
