@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from carelake.llm import tokens
 from carelake.llm.components import components
 from carelake.llm.shared import Scratch, bitmap, in_bitmap
-from carelake.llm.similarity import links
+from carelake.llm.similarity import agreement, fits, links, small
 from carelake.shipping import ship
 
 HALVES = 12
@@ -113,42 +113,39 @@ def _setter(shingle: int, wanted):
     return full_sets
 
 
-def _agreeing(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
-    """The pairs (a, b) with at least so many equal half-keys, which spares moving the full sets of most others.
+def _agreeing(pairs: DataFrame, classes: DataFrame, percent: int, least: int) -> DataFrame:
+    """The pairs (a, b) of fitting sizes with at least so many equal half-keys, which spares moving most other sets.
 
     A pair at similarity 0.75 shares each half-key with probability 0.56; that it has fewer than a sixth of
     them in common happens once in 100,000 times with 24 half-keys.
     """
-    left = classes.select(F.col("rep").alias("a"), F.col("halves").alias("ka"))
-    right = classes.select(F.col("rep").alias("b"), F.col("halves").alias("kb"))
-    equal = F.aggregate(F.zip_with("ka", "kb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    return pairs.join(left, "a").join(right, "b").where(equal >= least).select("a", "b").distinct()
+    left = classes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("halves").alias("ka"))
+    right = classes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("halves").alias("kb"))
+    alike = fits(percent) & (agreement("ka", "kb") >= least)
+    return pairs.join(left, "a").join(right, "b").where(alike).select("a", "b").distinct()
 
 
-def _bucket_rows(classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, id, n, first, first_n) rows of the tables in which a class may meet another.
+def _holders(classes: DataFrame) -> DataFrame:
+    """(id, sketch, l, r): the half-keys of each collection that some other class has too.
 
-    A table key can only be shared if both its half-keys are, so half-keys of one class alone are dropped
-    before the two collections are paired.
+    A table key can only be shared if both its half-keys are, so others need not be paired.
     """
     halves = classes.select(F.col("rep").alias("id"), F.explode("halves").alias("half"))
     met = halves.groupBy("half").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("half")
     left = F.col("half").bitwiseAND(F.lit(1)) == 0
     kept = (
-        halves.join(met, "half")
+        halves.join(small(met, met.count()), "half")
         .groupBy("id")
         .agg(F.collect_list(F.when(left, F.col("half"))).alias("l"), F.collect_list(F.when(~left, F.col("half"))).alias("r"))
-        .join(classes.groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("n")), "id")
     )
-    rows = kept.select("id", "n", "r", F.explode("l").alias("lk")).select("id", "n", "lk", F.explode("r").alias("rk"))
-    rows = scratch.keep(rows.select(F.xxhash64("lk", "rk").alias("key"), "id", "n"))
-    shared = (
-        rows.groupBy("key")
-        .agg(F.min("id").alias("first"), F.max("id").alias("hi"), F.min_by("n", "id").alias("first_n"))
-        .where("first < hi")
-        .drop("hi")
-    )
-    return scratch.write(rows.join(shared, "key"), "buckets", rows.count())
+    sketch = classes.groupBy(F.col("rep").alias("id")).agg(F.first("halves").alias("sketch"))
+    return kept.join(sketch, "id")
+
+
+def _tables(holders: DataFrame, *columns: str) -> DataFrame:
+    """The table keys of each holder: every pair of a left and a right half-key."""
+    rows = holders.select(*columns, "r", F.explode("l").alias("lk")).select(*columns, "lk", F.explode("r").alias("rk"))
+    return rows.select(F.xxhash64("lk", "rk").alias("key"), *columns)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE, halves: int = HALVES) -> DataFrame:
@@ -177,15 +174,19 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE,
     )
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     classes = scratch.keep(classes.repartition(parts, "rep"))
-    buckets = _bucket_rows(classes, scratch)
-
-    members = buckets.select("id").distinct()
-    wanted = spark.sparkContext.broadcast(bitmap(members, "id"))
-    carriers = classes.select(F.col("rep").alias("id"), F.col("cls").alias("class")).join(members, "id")
-    sets = docs.mapInArrow(_setter(shingle, wanted), "id long, cls string, shingles array<int>")
-    sets = sets.repartition(parts, "id").join(carriers.repartition(parts, "id"), "id").where("cls = class").drop("class")
-    sets = scratch.keep(sets.dropDuplicates(["id", "cls"]))
-    edges = links(buckets, sets, percent, scratch, lambda pairs: _agreeing(pairs, classes, halves // 3))
+    holders = scratch.write(_holders(classes), "holders")
+
+    def sets_of(members: DataFrame) -> DataFrame:
+        wanted = spark.sparkContext.broadcast(bitmap(members, "id"))
+        carriers = classes.select(F.col("rep").alias("id"), F.col("cls").alias("class")).join(members, "id")
+        sets = docs.mapInArrow(_setter(shingle, wanted), "id long, cls string, shingles array<int>")
+        sets = sets.repartition(parts, "id").join(carriers.repartition(parts, "id"), "id").where("cls = class").drop("class")
+        return scratch.keep(sets.dropDuplicates(["id", "cls"]))
+
+    least = halves // 3
+    edges = links(
+        holders, _tables, sets_of, percent, least, scratch, lambda pairs: _agreeing(pairs, classes, percent, least)
+    )
     roots = components(edges, scratch)
     moved = signed.join(classes.select("cls", "rep"), "cls", "left").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id"))

@@ -33,7 +33,7 @@ class Scratch:
     """Intermediate tables of one call.
 
     keep() holds a table on the executors' disks; what a lost executor held is computed anew. write() puts a table
-    into the shared folder and so cuts lineage, as loops need.
+    into the shared folder and so cuts lineage, as loops and long chains of steps need.
     """
 
     def __init__(self, spark: SparkSession, what: str):
@@ -43,9 +43,10 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         return df.persist(StorageLevel.DISK_ONLY)
 
-    def write(self, df: DataFrame, name: str, rows: int) -> DataFrame:
-        """Write df, of at most so many rows, in files of up to ROWS_PER_FILE, and return the written table."""
-        df.coalesce(1 + rows // ROWS_PER_FILE).write.mode("overwrite").parquet(f"{self.root}/{name}")
+    def write(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """Write df and return the written table; of at most so many rows, in files of up to ROWS_PER_FILE."""
+        out = df if rows is None else df.coalesce(1 + rows // ROWS_PER_FILE)
+        out.write.mode("overwrite").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
 
