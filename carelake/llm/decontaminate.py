@@ -18,8 +18,9 @@ from carelake.llm import tokens
 from carelake.llm.shared import Scratch, bitmap, in_bitmap
 from carelake.shipping import ship
 
-#: Masks of weight 6 and span up to 11: with one word in four substituted some window still hits.
-MASKS = ("111111", "1101011001", "11100010111", "10110100111", "1010101010101")
+#: Masks of weight 6. The first four hit where every fourth, fifth, sixth or later word is substituted, also in short
+#: passages; the others have wider gaps, for substitutions that stand together or at irregular distances.
+MASKS = ("1110111", "1111011", "1111101", "111111", "1101011001", "11100010111", "10110100111", "1010101010101")
 MIN_WORDS = 8
 PERCENT = 75
 

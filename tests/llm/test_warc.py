@@ -61,7 +61,7 @@ def test_repeated_rows_give_a_capture_each(spark):
     rows = [(1, "u", "a"), (1, "u", "a"), (2, "u", "b"), (1, "v", "b")]
     found = _found(page_captures(_pages(spark, rows)))
     assert [r[0] for r in found] == [1, 1, 1, 2]
-    assert [r[3] for r in found] == ["response", "response", "revisit", "response"]
+    assert sorted((r[0], r[1], r[3], r[4]) for r in found if r[3] == "revisit") == [(1, 1, "revisit", 2)]
 
 
 def test_payloads_and_record_structure(spark):
