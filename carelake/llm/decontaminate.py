@@ -79,20 +79,25 @@ def _seeder(id_column: str, masks, present, lengths: tuple[int, ...]):
 
 
 def aligned_region(doc: np.ndarray, item: np.ndarray, shift: int, percent: int = PERCENT) -> tuple[int, int, int]:
-    """The best run of item positions on a diagonal: (first, end, equal words).
+    """The run of item positions on a diagonal with the most equal words: (first, end, equal words).
 
-    Equal words add 100 - percent and others take percent away, so the best-scoring run holds at least
-    percent equal words and is as long as its score allows.
+    At least percent of a run's words are equal, and its first and last ones are. Equal words add 100 - percent and
+    others take percent away, so such runs are those whose sum isn't negative; for each end, the earliest start with
+    no larger a sum before it gives the longest.
     """
     lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
     if lo >= hi:
         return 0, 0, 0
     same = doc[lo + shift : hi + shift] == item[lo:hi]
     total = np.concatenate(([0], np.cumsum(np.where(same, 100 - percent, -percent))))
-    floor = np.minimum.accumulate(total)
-    end = int(np.argmax(total - floor))
-    start = int(np.argmax(total[: end + 1] == floor[end]))
-    return lo + start, lo + end, int(same[start:end].sum())
+    equal = np.concatenate(([0], np.cumsum(same)))
+    starts = np.searchsorted(-np.minimum.accumulate(total), -total)
+    end = int(np.argmax(equal - equal[starts]))
+    inside = np.flatnonzero(same[starts[end] : end])
+    if not len(inside):
+        return 0, 0, 0
+    first = lo + int(starts[end])
+    return first + int(inside[0]), first + int(inside[-1]) + 1, len(inside)
 
 
 def _verifier(percent: int, min_words: int):
