@@ -54,7 +54,7 @@ def _small_pairs(rows: DataFrame) -> DataFrame:
     return pairs.select("a", "b").distinct()
 
 
-def _rare_pairs(members: DataFrame, sets: DataFrame, percent: int, least: int, scratch: Scratch) -> DataFrame:
+def rare_pairs(members: DataFrame, sets: DataFrame, percent: int, least: int, scratch: Scratch) -> DataFrame:
     """Pairs of members of different components that can still be similar: prefix and positional filters.
 
     members is (id, comp, sketch). Shingles are ordered by how many members hold them; two sets with the wanted
@@ -144,6 +144,6 @@ def links(
     apart = tables(labelled, "id", "comp").join(small(mixed, mixed.count()), "key")
     crowded = apart.where(F.col("rows") > SMALL).select("id").distinct()
     crowded = labelled.join(crowded, "id").select("id", "comp", "sketch").dropDuplicates(["id"])
-    pairs = _small_pairs(apart.where(F.col("rows") <= SMALL)).union(_rare_pairs(crowded, sets, percent, least, scratch))
+    pairs = _small_pairs(apart.where(F.col("rows") <= SMALL)).union(rare_pairs(crowded, sets, percent, least, scratch))
     more = scratch.write(_verified(likely(pairs.distinct()), sets, percent), "more")
     return found.union(more)
