@@ -23,6 +23,8 @@ def scratch_root(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="carelake-")
         atexit.register(shutil.rmtree, found.removeprefix("file://"), True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -85,3 +87,27 @@ def bitmap(df: DataFrame, column: str) -> np.ndarray:
 
 def in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return bits[values.astype(np.int64) & (FILTER_BITS - 1)]
+
+
+NATIVE_BITS = 1 << 25
+
+
+def bit_filter(values: DataFrame, column: str) -> DataFrame:
+    """(word, mask): one bit for each value of the low bits of an integer column, set where some row has it.
+
+    It has NATIVE_BITS bits, so NATIVE_BITS / 64 rows at most whatever the table, and within() may broadcast it.
+    """
+    slot = F.col(column).bitwiseAND(F.lit(NATIVE_BITS - 1))
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    return values.select(F.shiftright(slot, 6).alias("word"), mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask"))
+
+
+def within(rows: DataFrame, column: str, bits: DataFrame) -> DataFrame:
+    """The rows whose value has its bit set, and so all that have an equal value among those of the filter.
+
+    It spares rows before a shuffle; what it lets through is decided by the join or grouping behind it.
+    """
+    slot = F.col(column).bitwiseAND(F.lit(NATIVE_BITS - 1))
+    bit = F.call_function("shiftright", F.col("mask"), slot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1))
+    found = rows.withColumn("word", F.shiftright(slot, 6)).join(F.broadcast(bits), "word")
+    return found.where(bit == 1).drop("word", "mask")
