@@ -2,7 +2,7 @@
 
 Each mask looks at some token positions of a window and ignores the others, so a hit survives substituted words.
 Hashes of training windows are joined with those of the benchmark; each hit names a diagonal (the shift between a
-document and an item), on which the aligned words are then compared one by one.
+document and an item). On diagonals with two hits the aligned words are then compared one by one.
 """
 
 from __future__ import annotations
@@ -11,16 +11,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carelake.llm import tokens
-from carelake.llm.shared import Scratch, bitmap, in_bitmap
+from carelake.llm.shared import Scratch, bit_filter, bitmap, in_bitmap, within
 from carelake.shipping import ship
 
-#: Masks of weight 6. The first four hit where every fourth, fifth, sixth or later word is substituted, also in short
-#: passages; the others have wider gaps, for substitutions that stand together or at irregular distances.
-MASKS = ("1110111", "1111011", "1111101", "111111", "1101011001", "11100010111", "10110100111", "1010101010101")
+#: Masks of weight 4, found by search. Of all runs of 8 to 16 words with at least 8 equal ones, three in four or more,
+#: each is hit at least twice, wherever its other words stand; so are longer runs, which hold such ones.
+MASKS = ("11011", "11000011", "101000101")
+HITS = 2
+#: The two hits of a run begin within so many words of each other.
+NEAR = 16
 MIN_WORDS = 8
 PERCENT = 75
 
@@ -38,41 +41,51 @@ def seeds(words: np.ndarray, mask: str, salt: int) -> np.ndarray:
         return tokens.mix(out)
 
 
-def _seeder(id_column: str, masks, present, lengths: tuple[int, ...]):
-    """A mapInArrow function from texts to (id, pos, hash) rows, of windows that the filter lets through.
+def _crowded(at: np.ndarray) -> np.ndarray:
+    """Which positions have another one within NEAR of them."""
+    order = np.argsort(at, kind="stable")
+    near = np.diff(at[order]) <= NEAR
+    out = np.zeros(len(at), bool)
+    out[order] = np.append(near, False) | np.insert(near, 0, False)
+    return out
 
-    lengths are the word counts of benchmark items that are too short for the masks; those are sought whole.
+
+def _seeder(key: str, masks, present, lengths: tuple[int, ...]):
+    """A mapInArrow function from texts to (key, pos, weight, hash) rows, of windows that the filter lets through.
+
+    lengths are the word counts of benchmark items that are too short for the masks; those are sought whole, and
+    such a hit weighs as much as all that are wanted. Of the others, lone ones are left out.
     """
 
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if present is None else present.value
         for batch in batches:
             raw, offsets = tokens.text_buffers(batch.column("text"))
-            ids = batch.column(id_column).cast(pa.int64())
             for lo, hi in tokens.slices(offsets):
                 words, first = tokens.word_hashes(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                found_at, found = [], []
-                for salt, mask in enumerate(masks):
-                    h = seeds(words, mask, salt)
-                    at = np.arange(len(h)) if bits is None else np.flatnonzero(in_bitmap(bits, h))
-                    row = np.searchsorted(first, at, "right") - 1
-                    inside = at + len(mask) <= first[row + 1] if len(at) else at > 0
-                    found_at.append(at[inside])
-                    found.append(h[at[inside]])
-                for n in lengths:
-                    h = tokens.window_hashes(words, n)
+
+                def met(h: np.ndarray, span: int, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
+                    """Windows within one row that the filter lets through; of the benchmark, all or whole rows."""
                     at = np.arange(len(h)) if bits is None else np.flatnonzero(in_bitmap(bits, h))
                     row = np.searchsorted(first, at, "right") - 1
-                    inside = (at + n <= first[row + 1]) if len(at) else at > 0
-                    if bits is None:  # benchmark side: only whole short items
-                        inside = inside & (first[row + 1] - first[row] == n)
-                    found_at.append(at[inside])
-                    found.append(h[at[inside]])
-                at, h = np.concatenate(found_at), np.concatenate(found)
+                    inside = at + span <= first[row + 1] if len(at) else at > 0
+                    if whole and bits is None:
+                        inside = inside & (first[row + 1] - first[row] == span)
+                    return at[inside], h[at[inside]]
+
+                each = [met(seeds(words, mask, salt), len(mask)) for salt, mask in enumerate(masks)]
+                at, h = (np.concatenate(x) for x in zip(*each))
+                if bits is not None:
+                    keep = _crowded(at)
+                    at, h = at[keep], h[keep]
+                short = [met(tokens.window_hashes(words, n), n, True) for n in lengths]
+                weight = np.repeat(np.array([1, HITS], np.int32), [len(at), sum(len(x) for x, _ in short)])
+                at, h = np.concatenate([at, *(x for x, _ in short)]), np.concatenate([h, *(x for _, x in short)])
                 row = np.searchsorted(first, at, "right") - 1
+                keys = batch.column(key).slice(lo, hi - lo).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo).take(pa.array(row)), pa.array(at - first[row]), pa.array(h.view(np.int64))],
-                    names=[id_column, "pos", "hash"],
+                    [keys, pa.array(at - first[row]), pa.array(weight), pa.array(h.view(np.int64))],
+                    names=[key, "pos", "weight", "hash"],
                 )
 
     return seed
@@ -100,32 +113,37 @@ def aligned_region(doc: np.ndarray, item: np.ndarray, shift: int, percent: int =
     return first + int(inside[0]), first + int(inside[-1]) + 1, len(inside)
 
 
+_FOUND = ["doc_start", "doc_end", "item_start", "n_equal", "item_words"]
+
+
 def _verifier(percent: int, min_words: int):
-    """A mapInPandas function over (doc_id, item_id, shifts, text, item) to verified overlaps."""
+    """A mapInArrow function over (row, doc_id, text_hash, item_id, shifts, text, item) to verified overlaps."""
 
     def words(text: str | None) -> np.ndarray:
         raw = np.frombuffer((text or "").encode(), np.uint8)
         return tokens.word_hashes(raw, np.array([0, len(raw)]))[0]
 
-    def verify(frames):
-        for frame in frames:
-            found, last, doc = [], None, None
-            for doc_id, item_id, shifts, text, item_text in frame.itertuples(index=False):
-                if text is not last:
-                    last, doc = text, words(text)
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, doc = None, None
+        for batch in batches:
+            at, found = [], []
+            columns = (batch.column(c).to_pylist() for c in ("row", "shifts", "item"))
+            for i, (row, shifts, item_text) in enumerate(zip(*columns)):
+                if row != last:  # the items of a document follow each other
+                    last, doc = row, words(batch.column("text")[i].as_py())
                 item = words(item_text)
-                runs = ((*aligned_region(doc, item, int(s), percent), int(s)) for s in sorted(shifts))
+                runs = ((*aligned_region(doc, item, s, percent), s) for s in sorted(shifts))
                 start, end, same, shift = max(runs, key=lambda r: r[2])
                 if same >= min(min_words, len(item)) and same:
-                    found.append((doc_id, item_id, start + shift, end + shift, start, same, len(item)))
-            yield frame.iloc[:0].reindex(columns=_FOUND) if not found else type(frame)(found, columns=_FOUND)
+                    at.append(i)
+                    found.append((start + shift, end + shift, start, same, len(item)))
+            kept = batch.select(["doc_id", "text_hash", "item_id"]).take(pa.array(at, pa.int64()))
+            numbers = [pa.array(x, pa.int64()) for x in zip(*found)] if found else [pa.array([], pa.int64())] * len(_FOUND)
+            yield pa.RecordBatch.from_arrays([*kept.columns, *numbers], names=[*kept.schema.names, *_FOUND])
 
     return verify
 
 
-_FOUND = ["doc_id", "item_id", "doc_start", "doc_end", "item_start", "n_equal", "item_words"]
-
-
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, masks=MASKS, percent: int = PERCENT, min_words: int = MIN_WORDS
 ) -> DataFrame:
@@ -134,41 +152,40 @@ def contaminated(
     An overlap is a run of aligned words, on one diagonal, of which at least percent are equal; it counts from
     min_words equal words on, or from the whole item where that is shorter. Words are compared with A-Z
     lower-cased. Null, empty and wordless texts overlap with nothing; nor does anything with an empty benchmark.
-    Rows that repeat a doc_id with the same text give one row; a null doc_id or item_id is reported as null.
-    Extra columns are ignored. Only a bitmap of fixed size over benchmark hashes is broadcast, whatever the
-    benchmark's size; it only spares rows, and the join decides.
+    Rows with the same doc_id and text give one row, other rows of that doc_id their own; text_hash, the xxhash64
+    of the text, tells them apart. A null doc_id or item_id is reported as null. Extra columns are ignored. Only
+    bit filters of fixed size are broadcast, whatever the tables; they only spare rows, and the joins decide.
     """
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "leaks")
-    docs, benchmark = docs.select("doc_id", "text"), benchmark.select("item_id", "text").distinct()
-    short = max(len(m) for m in masks)
-    n_words = F.size(F.split(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), " "))
+    docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.xxhash64("doc_id", "text").alias("row"), "text")
+    benchmark = benchmark.select("item_id", F.xxhash64("item_id", "text").alias("item"), "text").distinct()
     # Items that the longest mask does not fit; their distinct word counts are fewer than its span.
-    lengths = benchmark.where(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")) != "")
-    lengths = sorted(r[0] for r in lengths.select(n_words.alias("n")).where(F.col("n") < short).distinct().collect())
-    wanted = scratch.keep(
-        benchmark.mapInArrow(_seeder("item_id", masks, None, tuple(lengths)), "item_id long, pos long, hash long")
-    )
+    n_words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
+    short = benchmark.select(n_words.alias("n")).where(F.col("n").between(1, max(len(m) for m in masks) - 1)).distinct()
+    lengths = tuple(sorted(r["n"] for r in short.collect()))
+    wanted = benchmark.mapInArrow(_seeder("item", masks, None, lengths), "item long, pos long, weight int, hash long")
+    wanted = scratch.keep(wanted)
     present = spark.sparkContext.broadcast(bitmap(wanted, "hash"))
-    docs_hits = docs.mapInArrow(
-        _seeder("doc_id", masks, present, tuple(lengths)), "doc_id long, pos long, hash long"
+    asked = docs.select("row", "text").mapInArrow(
+        _seeder("row", masks, present, lengths), "row long, pos long, weight int, hash long"
     )
     hits = (
-        docs_hits.join(wanted.withColumnRenamed("pos", "item_pos"), "hash")
-        .select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"))
-        .distinct()
-        .groupBy("doc_id", "item_id")
+        asked.drop("weight")
+        .join(wanted.withColumnRenamed("pos", "item_pos"), "hash")
+        .groupBy("row", "item", (F.col("pos") - F.col("item_pos")).alias("shift"))
+        .agg(F.sum("weight").alias("weight"))
+        .where(F.col("weight") >= HITS)
+        .groupBy("row", "item")
         .agg(F.collect_list("shift").alias("shifts"))
     )
     hits = scratch.keep(hits)
-    texts = docs.join(hits.select("doc_id").distinct().withColumnRenamed("doc_id", "d"), F.expr("doc_id <=> d"), "left_semi")
+    texts = within(docs, "row", bit_filter(hits, "row")).distinct()
     pairs = (
-        hits.alias("h")
-        .join(texts.distinct().alias("t"), F.expr("h.doc_id <=> t.doc_id"))
-        .join(benchmark.alias("b"), F.expr("h.item_id <=> b.item_id"))
-        .select("h.doc_id", "h.item_id", "shifts", "t.text", F.col("b.text").alias("item"))
+        hits.join(benchmark.select("item", "item_id", F.col("text").alias("item_text")), "item")
+        .join(texts, "row")
+        .select("row", "doc_id", "text_hash", "item_id", "shifts", "text", F.col("item_text").alias("item"))
     )
-    schema = ", ".join(f"{c} long" for c in _FOUND)
-    return pairs.mapInPandas(_verifier(percent, min_words), schema)
-
+    schema = "doc_id long, text_hash long, item_id long, " + ", ".join(f"{c} long" for c in _FOUND)
+    return pairs.mapInArrow(_verifier(percent, min_words), schema)

@@ -1,14 +1,15 @@
 """Exact deduplication by Patricia-trie owners.
 
 Input partitions first combine their own copies in a trie, so a text that fills a third of all rows leaves each
-partition once. The survivors are dealt by length and content hash and sorted, and a second trie holds the full
-byte strings of one (length, hash) group at a time; its terminal nodes name the owner. Equality is therefore
-decided on bytes, never on hashes alone.
+partition once. The survivors are dealt by length and a short content hash, which many different texts may share, and
+a second trie takes the full byte strings of one such group; its terminal nodes name the owners. Equality is so
+decided on bytes. Groups come sorted, so a trie that grows too large can hand on what is below all but the last text.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 from carelake.shipping import ship
 
 TRIE_BYTES = 64 << 20
+#: Values of the short content hash by which texts of one length are dealt.
+BUCKETS = 1 << 12
 _PARTIAL = pa.schema(
-    [("length", pa.int64()), ("digest", pa.string()), ("text", pa.binary()), ("owner", pa.int64()), ("n", pa.int64())]
+    [("length", pa.int64()), ("bucket", pa.int64()), ("text", pa.binary()), ("owner", pa.int64()), ("n", pa.int64())]
 )
 _OWNERS = pa.schema([("digest", pa.string()), ("owner", pa.int64()), ("n", pa.int64())])
 
@@ -104,7 +107,7 @@ def normalised(column: pa.Array) -> Iterator[bytes]:
 def _rows(terminals, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
     for text, owner, n in terminals:
-        held.append((len(text), hashlib.sha256(text).hexdigest(), text, owner, n))
+        held.append((len(text), zlib.crc32(text) % BUCKETS, text, owner, n))
         size += len(text) + 100
         if size > most:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _PARTIAL)], schema=_PARTIAL)
@@ -126,31 +129,30 @@ def _combiner(largest: bool, trie_bytes: int):
     return combine
 
 
-def _owners(largest: bool):
-    """Sorted partials to one owner per text. In byte order, a trie of one (length, hash) group is all that is held."""
+def _owners(largest: bool, trie_bytes: int):
+    """Sorted partials to one owner per text, from one trie for each group of a length and a short hash."""
 
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, now = PatriciaTrie(largest), None
+    def table(rows: list[tuple[str, int | None, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _OWNERS)], schema=_OWNERS)
 
-        def finished():
-            found = [(owner, n) for _, owner, n in trie.take()]
-            if len(found) > 1:
-                raise ValueError(f"different texts share the SHA-256 digest {now}")
-            return (now, *found[0])
+    def emptied(trie: PatriciaTrie) -> Iterator[tuple[str, int | None, int]]:
+        return ((hashlib.sha256(text).hexdigest(), owner, n) for text, owner, n in trie.take())
 
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, now, last = PatriciaTrie(largest), None, None
         for batch in batches:
             out = []
-            columns = (batch.column(c).to_pylist() for c in ("digest", "text", "owner", "n"))
-            for digest, text, owner, n in zip(*columns):
-                if now is not None and digest != now:
-                    out.append(finished())
-                now = digest
+            columns = (batch.column(c).to_pylist() for c in ("length", "bucket", "text", "owner", "n"))
+            for length, bucket, text, owner, n in zip(*columns):
+                # In byte order a new text closes all before it, so a full trie may be emptied then.
+                if now != (length, bucket) or (trie.size > trie_bytes and text != last):
+                    out.extend(emptied(trie))
+                now, last = (length, bucket), text
                 trie.insert(text, owner, n)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _OWNERS)], schema=_OWNERS)
+                yield table(out)
         if now is not None:
-            last = [finished()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*last), _OWNERS)], schema=_OWNERS)
+            yield table(list(emptied(trie)))
 
     return own
 
@@ -169,15 +171,16 @@ def exact_duplicates(docs: DataFrame, largest: bool = True, trie_bytes: int = TR
     Texts are equal when their bytes are, after lower-casing A-Z only; null counts as empty. Of equal texts the
     largest doc_id owns the group (or the smallest). A null doc_id owns only a group without other ids. Rows that
     repeat a doc_id within a group are each counted, and each kept if that id owns it. Extra columns are ignored.
-    An empty table gives an empty result. A trie over trie_bytes hands its largest subtree on to the shuffle.
+    An empty table gives an empty result. An input partition's trie over trie_bytes hands its largest subtree on to the
+    shuffle.
     """
     ship(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     partial = docs.mapInArrow(
-        _combiner(largest, trie_bytes), "length long, digest string, text binary, owner long, n long"
+        _combiner(largest, trie_bytes), "length long, bucket long, text binary, owner long, n long"
     )
-    dealt = partial.repartition("length", "digest").sortWithinPartitions("length", "digest", "text")
-    owners = dealt.mapInArrow(_owners(largest), "digest string, owner long, n long")
+    dealt = partial.repartition("length", "bucket").sortWithinPartitions("length", "bucket", "text")
+    owners = dealt.mapInArrow(_owners(largest, trie_bytes), "digest string, owner long, n long")
     each = docs.mapInArrow(_digests, "doc_id long, text_sha256 string")
     return each.join(owners, each.text_sha256 == owners.digest).select(
         "doc_id",

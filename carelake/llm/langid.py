@@ -1,9 +1,10 @@
 """Language identification with blended-spectrum presence kernels.
 
 Two texts are as similar as the n-grams of 1 to 3 bytes that both contain, k(x, y) = |N(x) & N(y)|, scaled to
-k / sqrt(k(x, x) k(y, y)). Nyström features over landmark texts turn kernel ridge regression, one class against
-the rest, into a small linear problem. The landmark kernel, its whitening and the ridge weights fold into one
-matrix, so a batch of texts is scored by one product of its presence matrix with it.
+k / sqrt(k(x, x) k(y, y)); N(x) holds those n-grams of x that some landmark text has. Nyström features over the
+landmarks turn kernel ridge regression, one class against the rest, into a small linear problem. The landmark kernel,
+its whitening and the ridge weights fold into one matrix, so a batch of texts is scored by one product of its
+presence matrix with it.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from carelake.llm import tokens
@@ -71,7 +73,7 @@ class LanguageModel:
     bias: np.ndarray
 
     def scorer(self):
-        """A mapInArrow function from (doc_id, held_out, text) to predictions."""
+        """A mapInArrow function from rows with a text to the same rows, with lang_pred and score in place of the text."""
         languages, codes, weights, bias = self.languages, self.codes, self.weights, self.bias
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,9 +99,10 @@ class LanguageModel:
                 known = letters & bool(languages)
                 names = [languages[b] if k else UNDETERMINED for b, k in zip(best, known)]
                 points = np.where(known, np.clip((value + 1) / 2, 0, 1), 0.0)
+                others = [x for x in batch.schema.names if x != "text"]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(points)],
-                    names=["doc_id", "held_out", "lang_pred", "score"],
+                    [*(batch.column(x) for x in others), pa.array(names, pa.string()), pa.array(points)],
+                    names=[*others, "lang_pred", "score"],
                 )
 
         return score
@@ -126,27 +129,51 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, landmarks: int = LA
     return _solve(taken.mapInArrow(_presence, "lang string, codes array<int>").toPandas(), landmarks, ridge)
 
 
+class Landmarks:
+    """The n-grams of landmark texts, each with the landmarks that have it."""
+
+    def __init__(self, texts: list[np.ndarray]):
+        grams = np.concatenate([np.zeros(0, np.int32), *texts])
+        of = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
+        order = np.argsort(grams, kind="stable")
+        self.n, self.of = len(texts), of[order]
+        self.codes, self.first = np.unique(grams[order], return_index=True)
+        self.first = np.append(self.first, len(grams))
+
+    def kernel(self, text: np.ndarray) -> tuple[np.ndarray, int]:
+        """How many n-grams a text shares with each landmark, and with any."""
+        at = np.minimum(np.searchsorted(self.codes, text), max(len(self.codes) - 1, 0))
+        at = at[self.codes[at] == text] if len(self.codes) else at[:0]
+        size = self.first[at + 1] - self.first[at]
+        ends = np.cumsum(size)
+        place = np.arange(int(size.sum())) - np.repeat(ends - size, size) + np.repeat(self.first[at], size)
+        return np.bincount(self.of[place], minlength=self.n).astype(np.float64), len(at)
+
+    def fold(self, weights: np.ndarray) -> np.ndarray:
+        """Weights of landmarks as weights of their n-grams."""
+        out = np.zeros((len(self.codes), weights.shape[1]))
+        np.add.at(out, np.repeat(np.arange(len(self.codes)), np.diff(self.first)), weights[self.of])
+        return out.astype(np.float32)
+
+
 def _solve(sample, landmarks: int, ridge: float) -> LanguageModel:
+    """Ridge regression on Nyström features. Memory follows the sample's n-grams; no matrix is texts by n-grams."""
     languages = sorted(set(sample["lang"]))
     turn = sample.groupby("lang").cumcount()
     sample = sample.iloc[np.lexsort((sample["lang"], turn))]  # languages take turns, so landmarks hold each of them
-    marks = sample["codes"].iloc[:landmarks]
-    codes = np.unique(np.concatenate([np.zeros(0, np.int32), *marks])).astype(np.int32)
-    x = np.zeros((len(sample), len(codes)), np.float32)
-    for i, found in enumerate(sample["codes"]):
-        found = np.asarray(found, np.int32)
-        at = np.minimum(np.searchsorted(codes, found), max(len(codes) - 1, 0))
-        x[i, at[codes[at] == found] if len(codes) else at[:0]] = 1
-    x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
-    basis = x[: len(marks)]
-    values, vectors = np.linalg.eigh((basis @ basis.T).astype(np.float64))
+    texts = [np.asarray(x, np.int32) for x in sample["codes"]]
+    marks = Landmarks(texts[:landmarks])
+    shared = [marks.kernel(x) for x in texts]
+    norm = np.sqrt(np.maximum([n for _, n in shared], 1))
+    kernel = np.array([k for k, _ in shared]) / norm[:, None] / norm[None, : marks.n]
+    values, vectors = np.linalg.eigh(kernel[: marks.n])
     inverse_root = vectors / np.sqrt(np.maximum(values, 1e-8)) @ vectors.T
-    features = (x @ basis.T).astype(np.float64) @ inverse_root
+    features = kernel @ inverse_root
     wanted = np.where(sample["lang"].to_numpy()[:, None] == np.array(languages)[None, :], 1.0, -1.0)
     bias = wanted.mean(axis=0)
-    gram = features.T @ features + ridge * len(sample) / 100 * np.eye(len(marks))
-    w = np.linalg.solve(gram, features.T @ (wanted - bias))
-    return LanguageModel(languages, codes, (basis.T @ (inverse_root @ w)).astype(np.float32), bias.astype(np.float32))
+    gram = features.T @ features + ridge * len(sample) / 100 * np.eye(marks.n)
+    w = inverse_root @ np.linalg.solve(gram, features.T @ (wanted - bias))
+    return LanguageModel(languages, marks.codes, marks.fold(w / norm[: marks.n, None]), bias.astype(np.float32))
 
 
 def held_out(docs: DataFrame, folds: int = 4, fold: int = 2) -> F.Column:
@@ -154,6 +181,11 @@ def held_out(docs: DataFrame, folds: int = 4, fold: int = 2) -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == fold, F.lit(False))
 
 
+def _model_of(docs: DataFrame, sample_rows: int, landmarks: int) -> LanguageModel:
+    ship(docs.sparkSession)
+    return fit(docs.where(~held_out(docs) & F.col("doc_id").isNotNull()), sample_rows, landmarks)
+
+
 def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, landmarks: int = LANDMARKS) -> DataFrame:
     """One row per document: (doc_id, held_out, lang_pred, score).
 
@@ -162,9 +194,16 @@ def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, landmarks: int = L
     one without any letter, is `und` with score 0, as is everything where no row is labelled. Ties go to the first
     language in order. Repeated rows each give a row; extra columns are ignored; an empty table gives no rows.
     """
-    ship(docs.sparkSession)
-    docs = docs.select("doc_id", "text", "lang").withColumn("held_out", held_out(docs))
-    model = fit(docs.where("not held_out and doc_id is not null"), sample_rows, landmarks)
-    return docs.select("doc_id", "held_out", "text").mapInArrow(
+    docs = docs.select("doc_id", "text", "lang")
+    model = _model_of(docs, sample_rows, landmarks)
+    return docs.select("doc_id", held_out(docs).alias("held_out"), "text").mapInArrow(
         model.scorer(), "doc_id long, held_out boolean, lang_pred string, score double"
     )
+
+
+def annotate(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, landmarks: int = LANDMARKS) -> DataFrame:
+    """Each row as a struct `doc`, with lang_pred and score as identify() has them; rows are not matched by id."""
+    model = _model_of(docs.select("doc_id", "text", "lang"), sample_rows, landmarks)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text")
+    schema = T.StructType([rows.schema["doc"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(model.scorer(), schema)

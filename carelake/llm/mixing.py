@@ -11,9 +11,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from carelake.llm import tokens
@@ -64,10 +63,9 @@ def permute(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-@F.pandas_udf(T.LongType())
-def n_words(text: pd.Series) -> pd.Series:
-    """Words of a text: maximal runs of other bytes than space and \\x09-\\x0D."""
-    return text.map(lambda x: len(x.encode().split()) if x else 0)
+def n_words(text: str) -> Column:
+    """Words of a text: maximal runs of other characters than space and \\x09-\\x0D; none in a null text."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def running_sum(df: DataFrame, key: str, order: str, value: str, out: str, chunk: int = 1024) -> DataFrame:

@@ -24,7 +24,7 @@ from carelake.shipping import ship
 
 HALVES = 12
 SHINGLE = 5
-_SIGNED = "doc_id long, n_shingles long, cls string, halves array<int>"
+_SIGNED = "doc_id long, text_hash long, n_shingles long, cls string, halves array<int>"
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -73,21 +73,17 @@ def _signer(shingle: int, halves: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()),
+                        batch.column("text_hash").slice(lo, hi - lo),
                         pa.array(sizes),
                         pa.array([_class_of(s) for s in sets], pa.string()),
                         pa.ListArray.from_arrays(pa.array(ends), values),
                     ],
-                    names=["doc_id", "n_shingles", "cls", "halves"],
+                    names=["doc_id", "text_hash", "n_shingles", "cls", "halves"],
                 )
 
     return sign
 
 
-def _short(shingles: np.ndarray) -> np.ndarray:
-    """32 bits of each hash. Two different shingles of a pair of documents agree in them once in 10,000 pairs."""
-    return (shingles >> np.uint64(32)).astype(np.uint32).view(np.int32)
-
-
 def _setter(shingle: int, wanted):
     """A mapInArrow function: (doc_id, text) to (id, cls, shingles), the full sets of documents in a bitmap."""
 
@@ -105,7 +101,7 @@ def _setter(shingle: int, wanted):
                     [
                         ids.slice(lo, hi - lo),
                         pa.array([_class_of(s) for s in sets], pa.string()),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(_short(np.concatenate(sets)))),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64))),
                     ],
                     names=["id", "cls", "shingles"],
                 )
@@ -149,10 +145,11 @@ def _tables(holders: DataFrame, *columns: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE, halves: int = HALVES) -> DataFrame:
-    """One row per document: (doc_id, n_shingles, component_id, kept).
+    """One row per document: (doc_id, text_hash, n_shingles, component_id, kept), text_hash the xxhash64 of its text.
 
     Documents with equal shingle sets form a class, whose smallest doc_id is a vertex. Vertices that meet in a
-    table are linked as similarity.links() says, so no link is lost among classes that meet.
+    table are linked as similarity.links() says, on full sets of 64-bit shingle hashes. Two similar classes fail to
+    meet in any table with probability 1e-4 at most, and to pass the comparison of half-keys with 1e-5.
 
     A null or empty text, or one without words, has no shingles: it is linked with nothing and stays. So is a
     row with a null doc_id. Rows that repeat a doc_id count as one document, with the links of all its texts.
@@ -161,7 +158,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE,
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "near")
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     signed = scratch.keep(docs.mapInArrow(_signer(shingle, halves), _SIGNED))
     classes = (
         signed.where("cls is not null and doc_id is not null")
@@ -172,15 +169,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE,
             F.first("halves").alias("halves"),
         )
     )
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    classes = scratch.keep(classes.repartition(parts, "rep"))
+    classes = scratch.keep(classes.repartition("rep"))
     holders = scratch.write(_holders(classes), "holders")
 
     def sets_of(members: DataFrame) -> DataFrame:
         wanted = spark.sparkContext.broadcast(bitmap(members, "id"))
         carriers = classes.select(F.col("rep").alias("id"), F.col("cls").alias("class")).join(members, "id")
-        sets = docs.mapInArrow(_setter(shingle, wanted), "id long, cls string, shingles array<int>")
-        sets = sets.repartition(parts, "id").join(carriers.repartition(parts, "id"), "id").where("cls = class").drop("class")
+        sets = docs.drop("text_hash").mapInArrow(_setter(shingle, wanted), "id long, cls string, shingles array<long>")
+        sets = sets.repartition("id").join(carriers.repartition("id"), "id").where("cls = class").drop("class")
         return scratch.keep(sets.dropDuplicates(["id", "cls"]))
 
     least = halves // 3
@@ -192,6 +188,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE,
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id"))
     return moved.select(
         "doc_id",
+        "text_hash",
         "n_shingles",
         component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"),

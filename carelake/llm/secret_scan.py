@@ -2,17 +2,20 @@
 
 Every version of every path is addressed by the SHA-256 of its content. Only pairs of a blob and a rule version that
 the ledger hasn't seen are scanned, each blob once however many paths hold it, and findings are joined back to all
-paths. Offsets count code points.
+paths. The ledger is a folder of two tables to which every update adds a batch. Offsets count code points.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from carelake.llm.shared import Scratch
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -111,14 +114,56 @@ def _of(spans: str, kind: str) -> Column:
     return F.filter(spans, lambda s: s["kind"] == kind)
 
 
-def document_secrets(docs: DataFrame) -> DataFrame:
+class Ledger:
+    """The tables `entries` (blob, kind, version) and `findings` (blob, kind, version, start, end) below one folder.
+
+    An update that fails before its end leaves no entry, so its blobs are scanned again: findings, which are written
+    first, are kept as sets, and repeated ones change nothing. An update without anything new adds no rows.
+    """
+
+    ENTRIES = "blob string, kind string, version int"
+    FINDINGS = "blob string, kind string, version int, start bigint, end bigint"
+
+    def __init__(self, spark: SparkSession, root: str, rules=RULES):
+        self.spark, self.root, self.rules = spark, root, rules
+
+    def _table(self, name: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.root}/{name}")
+
+    def _create(self) -> None:
+        for name, schema in (("entries", self.ENTRIES), ("findings", self.FINDINGS)):
+            self.spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{self.root}/{name}")
+
+    def update(self, versions: DataFrame) -> None:
+        """Scan the blobs of versions (path, text) for the rule versions that the ledger has no entry of."""
+        self._create()
+        entries, found = scan(versions, self._table("entries", self.ENTRIES), self.rules)
+        schema = [F.col(x.split()[0]).cast(x.split()[1]) for x in self.FINDINGS.split(", ")]
+        found.select(*schema).write.mode("append").parquet(f"{self.root}/findings")
+        entries.select("blob", "kind", F.col("version").cast("int")).write.mode("append").parquet(f"{self.root}/entries")
+
+    def findings(self) -> DataFrame:
+        """Findings of the rules' present versions."""
+        current = [(F.col("kind") == r.kind) & (F.col("version") == r.version) for r in self.rules]
+        return self._table("findings", self.FINDINGS).where(reduce(Column.__or__, current)).distinct()
+
+    def by_path(self, versions: DataFrame) -> DataFrame:
+        """The rows of versions with the `spans` of their blob, as path_findings() has them."""
+        return path_findings(versions, self.findings(), self.rules)
+
+
+def document_secrets(docs: DataFrame, ledger: Ledger | None = None) -> DataFrame:
     """One row per document: (doc_id, n_assign, n_access, n_hex, base_sha256, spans).
 
-    spans lists kind:start:end of every finding, joined by commas, and base_sha256 is the digest of such a list of
-    the base kinds. A null or empty text has none. Repeated rows each give a row; extra columns are ignored.
+    The documents are added to the ledger, a new one in the shared folder where none is given, and their findings are
+    read back from it. spans lists kind:start:end of every finding, joined by commas, and base_sha256 is the digest of
+    such a list of the base kinds. A null or empty text has none. Repeated rows each give a row; extra columns are
+    ignored; an empty table gives no rows.
     """
     docs = docs.select("doc_id", "text")
-    found = path_findings(docs, scan(docs)[1])
+    ledger = ledger or Ledger(docs.sparkSession, Scratch(docs.sparkSession, "secrets").root)
+    ledger.update(docs)
+    found = ledger.by_path(docs)
 
     def listed(spans: Column) -> Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")

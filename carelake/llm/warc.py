@@ -47,12 +47,14 @@ def _record(headers: list[tuple[str, Column]], block: Column) -> Column:
 
 
 def _named(kind: str) -> Column:
-    """A record id made of the page's id, its number among rows of that id, and the kind of record."""
+    """A record id made of the page's id, its payload, its number among rows of both, and the kind of record."""
     return _urn(F.col("page_id").isNotNull(), F.col("home"), F.col("copy"), kind)
 
 
 def _urn(known: Column, home: Column, copy: Column, kind: str) -> Column:
-    name = F.md5(F.concat_ws(":", known.cast("string"), home.cast("string"), copy.cast("string"), F.lit(kind)))
+    """home is a page's id; a revisit has its own payload in common with the record that it refers to."""
+    parts = (known.cast("string"), home.cast("string"), F.col("digest"), copy.cast("string"), F.lit(kind))
+    name = F.md5(F.concat_ws(":", *parts))
     return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(name, "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-"), F.lit(">"))
 
 
@@ -79,8 +81,8 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, file
     dealt = pages.withColumn("digest", F.sha2("html", 256))
     dealt = dealt.withColumn("home", F.coalesce("page_id", F.xxhash64("digest", "url"))).repartition(parts, "home")
     joined = dealt.join(owners.repartition(parts, "home"), "home", "left")
-    # Rows of one page_id lie in one partition; they are numbered there, so record ids differ.
-    number = F.expr("row_number() over (partition by home order by digest, url)")
+    # Rows of one page_id lie in one partition; equal payloads are numbered there, so record ids differ.
+    number = F.expr("row_number() over (partition by home, digest order by url)")
     owner = F.when(F.col("page_id").isNotNull(), F.try_element_at("owners", F.col("digest")))
     made = joined.withColumn("owner", owner).withColumn("copy", number)
     uri = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "%0A")
@@ -247,12 +249,13 @@ def assemble(records: DataFrame) -> DataFrame:
 def page_captures(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     """Write pages to archives in the shared folder, read them back and return one nested row per capture.
 
-    A revisit's `original` is the page_id of the capture that it refers to.
+    A revisit's `original` is the page_id of the capture that it refers to, null for others. Null pages, ids, repeated
+    rows and empty tables are as write_archives() has them.
     """
     scratch = Scratch(pages.sparkSession, "warc")
     write_archives(pages, f"{scratch.root}/archives", min_revisit_bytes)
-    captures = assemble(read_records(pages.sparkSession, f"{scratch.root}/archives"))
-    captures = scratch.keep(captures)
+    records = scratch.keep(read_records(pages.sparkSession, f"{scratch.root}/archives"))
+    captures = scratch.keep(assemble(records))
     originals = captures.where("response.type = 'response'").select(
         F.col("id").alias("original_id"), F.col("metadata.page_id").alias("original")
     )

@@ -1,6 +1,8 @@
+import itertools
 import random
 
-from carelake.llm.decontaminate import contaminated
+import corpus_pipeline
+from carelake.llm.decontaminate import HITS, MASKS, NEAR, contaminated
 from carelake.llm.shared import table
 from tests.llm.cases import COLUMNS, awkward, docs_of, empty, words
 
@@ -66,3 +68,43 @@ def test_awkward_rows(spark):
     assert contaminated(awkward(spark), _bench(spark, [])).count() == 0
     assert contaminated(empty(spark), bench).count() == 0
     assert contaminated(spark.createDataFrame([(1, None, None, None, None)], COLUMNS), bench).count() == 0
+
+
+def test_short_runs_with_any_words_substituted_are_found(spark):
+    """Items of 8 to 30 words of which up to a quarter are substituted anywhere inside; brute force over diagonals."""
+    draw = random.Random(5)
+    items, texts, expected = {}, {}, set()
+    for i in range(400):
+        n = draw.randrange(8, 31)
+        items[i] = _prose(draw, n)
+        passage = list(items[i])
+        for at in draw.sample(range(1, n - 1), min(n // 4, n - 8)):
+            passage[at] = f"changed{i}"
+        around = _prose(draw, 40)
+        texts[i] = " ".join([*around[:20], *passage, *around[20:]])
+        expected.add((i, i))
+    assert _found(contaminated(docs_of(spark, texts), _bench(spark, [(i, " ".join(x)) for i, x in items.items()]))) == expected
+
+
+def test_masks_hit_every_short_pattern_twice():
+    """All ways to substitute words inside runs of 8 to 16 with at least 8 equal words, three in four or more."""
+    for n, k in ((8, 0), (9, 1), (10, 2), (11, 2), (12, 3), (13, 3), (14, 3), (15, 3), (16, 4)):
+        for gone in itertools.combinations(range(1, n - 1), k):
+            hits = [
+                at
+                for mask in MASKS
+                for at in range(n - len(mask) + 1)
+                if not any(x == "1" and at + j in gone for j, x in enumerate(mask))
+            ]
+            assert len(hits) >= HITS and max(hits) - min(hits) <= NEAR
+
+
+def test_large_ids_and_rows_of_one_id_or_none_keep_their_own_verdicts(spark):
+    passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    big = 1 << 60
+    rows = [(big + 1, passage), (big + 5, "x " + passage), (None, passage), (None, "clean words only"), (7, "clean"), (7, passage)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], COLUMNS)
+    found = contaminated(docs, _bench(spark, [(big + 3, passage)]))
+    assert _found(found) == {(i, big + 3) for i in (big + 1, big + 5, None, 7)}
+    left = corpus_pipeline._without(docs, found).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in left) == [(0, "clean words only"), (7, "clean")]

@@ -1,6 +1,9 @@
 import zlib
 
-from carelake.llm.langid import identify
+import numpy as np
+import pandas as pd
+
+from carelake.llm.langid import _solve, identify
 from carelake.llm.shared import table
 from tests.llm.cases import COLUMNS, awkward, empty
 
@@ -48,3 +51,39 @@ def test_nothing_to_learn_from_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "some text", None, None, None)], COLUMNS)
     assert [r["lang_pred"] for r in identify(docs).collect()] == ["und"]
     assert identify(empty(spark)).count() == 0
+
+
+def _grams(text):
+    raw = text.lower().encode()
+    return {raw[i : i + n] for n in (1, 2, 3) for i in range(len(raw) - n + 1)}
+
+
+def test_margins_are_those_of_a_brute_force_kernel():
+    """Nyström kernel ridge regression on sets of n-grams, without folding anything into weights of n-grams."""
+    draw = np.random.default_rng(2)
+    alphabets = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "ijklmnop"}
+    texts = [(x, "".join(draw.choice(list(alphabets[x] + " "), 30))) for _ in range(12) for x in alphabets]
+    langs, marks, ridge = sorted(alphabets), 9, 1e-2
+    sets = [_grams(t) for _, t in texts]
+    seen = set().union(*sets[:marks])
+    sets = [s & seen for s in sets]
+
+    def k(x, y):
+        return len(x & y) / np.sqrt(max(len(x), 1) * max(len(y), 1))
+
+    kernel = np.array([[k(x, y) for y in sets[:marks]] for x in sets])
+    values, vectors = np.linalg.eigh(kernel[:marks])
+    features = kernel @ (vectors / np.sqrt(np.maximum(values, 1e-8)) @ vectors.T)
+    wanted = np.array([[1.0 if x == y else -1.0 for y in langs] for x, _ in texts])
+    gram = features.T @ features + ridge * len(texts) / 100 * np.eye(marks)
+    expected = features @ np.linalg.solve(gram, features.T @ (wanted - wanted.mean(0))) + wanted.mean(0)
+
+    def code(g):
+        return int.from_bytes(g, "big") + (0, 256, 256 + (1 << 16))[len(g) - 1]
+
+    codes = [np.array(sorted(code(g) for g in _grams(t)), np.int32) for _, t in texts]
+    model = _solve(pd.DataFrame({"lang": [x for x, _ in texts], "codes": codes}), marks, ridge)
+    for found, row in zip(codes, expected):
+        mine = np.intersect1d(found, model.codes)
+        margin = model.weights[np.searchsorted(model.codes, mine)].sum(0) / np.sqrt(max(len(mine), 1)) + model.bias
+        assert np.allclose(margin, row, atol=1e-4)

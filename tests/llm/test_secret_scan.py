@@ -1,8 +1,8 @@
 import hashlib
 import re
 
-from carelake.llm.secret_scan import MORE_RULES, RULES, Rule, document_secrets, path_findings, scan
-from carelake.llm.shared import table
+from carelake.llm.secret_scan import MORE_RULES, RULES, Ledger, Rule, document_secrets, path_findings, scan
+from carelake.llm.shared import Scratch, table
 from tests.llm.cases import ROWS, awkward, docs_of, empty
 
 BASE = (
@@ -77,3 +77,21 @@ def test_only_unseen_pairs_of_blob_and_rule_version_are_scanned(spark):
     assert {r["kind"] for r in found.collect()} == {"assign"}
     by_path = {r["path"]: len(r["spans"]) for r in path_findings(first, findings).collect()}
     assert by_path["a"] == by_path["b"] > 0
+
+
+def test_two_batches_through_a_stored_ledger_find_the_same(spark):
+    ledger = Ledger(spark, Scratch(spark, "ledger-test").root)
+    first = docs_of(spark, TEXTS[:4])
+    assert _found(document_secrets(first, ledger)) == sorted((_expected(i, t) for i, t in enumerate(TEXTS[:4])), key=repr)
+    entries = ledger._table("entries", Ledger.ENTRIES)
+    assert entries.count() == 4 * len(RULES)
+    every = docs_of(spark, [*TEXTS, *TEXTS])
+    found = _found(document_secrets(every, ledger))
+    assert found == sorted((_expected(i, t) for i, t in enumerate([*TEXTS, *TEXTS])), key=repr)
+    entries = ledger._table("entries", Ledger.ENTRIES)
+    assert entries.count() == entries.distinct().count() == len(TEXTS) * len(RULES)
+    newer = Ledger(spark, ledger.root, (Rule("assign", RULES[0].pattern, version=2, part=2, least=6), *RULES[1:]))
+    newer.update(every)
+    entries = newer._table("entries", Ledger.ENTRIES)
+    assert entries.count() == len(TEXTS) * (len(RULES) + 1)
+    assert {r["version"] for r in newer.findings().where("kind = 'assign'").collect()} == {2}

@@ -81,3 +81,26 @@ def test_payloads_and_record_structure(spark):
 
 def test_empty_table(spark):
     assert page_captures(_pages(spark, [])).count() == 0
+
+
+def test_a_revisit_refers_to_the_record_that_holds_its_payload(spark):
+    rows = [(2, "u", "a"), (2, "u", "b"), (3, "u", "a"), (1, "u", "b")]
+    assert _found(page_captures(_pages(spark, rows))) == _expected(rows)
+
+
+def test_large_page_ids(spark):
+    rows = [((1 << 60) + 1, "u", "same"), ((1 << 60) + 5, "u", "same")]
+    assert _found(page_captures(_pages(spark, rows))) == _expected(rows)
+
+
+def test_records_without_partners_still_assemble(spark):
+    """A lone response has null request and metadata; a request or metadata of no known response gives no row."""
+    schema = "type string, id string, concurrent_to string, refers_to string, uri string, digest string, payload_bytes long, page_id long, payload binary"
+    rows = [
+        ("response", "r1", None, None, "u", "D", 1, None, None),
+        ("request", "q9", "r9", None, "u", None, None, None, None),
+        ("metadata", "m9", "r9", None, None, None, None, 9, None),
+        ("warcinfo", "w", None, None, None, None, None, None, None),
+    ]
+    found = assemble(spark.createDataFrame(rows, schema)).collect()
+    assert [(r["id"], r["request"], r["metadata"]) for r in found] == [("r1", None, None)]
