@@ -2,27 +2,42 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Groups of letters that recognition takes for each other, and what replacing one by another costs.
-CONFUSED = (("0", "oO", 0.1), ("1", "lIi|", 0.1), ("5", "sS", 0.15), ("8", "B", 0.15), ("2", "zZ", 0.2), ("c", "e", 0.3), ("u", "v", 0.3), ("n", "h", 0.3))
+#: Letters that recognition takes for each other, either way, and what replacing one by the other costs.
+CONFUSED = {
+    "ac": 0.2, "ao": 0.25, "ae": 0.25, "au": 0.3,
+    "o0": 0.1, "od": 0.25, "oq": 0.25, "ou": 0.3, "oc": 0.25,
+    "l1": 0.1, "li": 0.1, "l|": 0.1, "l!": 0.15, "lt": 0.25, "lj": 0.3, "i1": 0.1,
+    "s5": 0.15, "sz": 0.25,
+    "z2": 0.15,
+    "b8": 0.15, "b6": 0.25, "bd": 0.3,
+    "g9": 0.15, "gq": 0.2, "gy": 0.3,
+    "ec": 0.2,
+    "uv": 0.2,
+    "ft": 0.25,
+    "pb": 0.3,
+}
+#: Pairs of letters that look like one, in the order in which they are replaced.
+MERGED = (("vv", "w"), ("rn", "m"), ("cl", "d"), ("ph", "f"), ("ri", "n"), ("li", "h"))
+_COST = {k: v for (a, b), v in CONFUSED.items() for k in ((a, b), (b, a))}
 
 
-def _costs() -> dict:
-    out = {}
-    for a, others, cost in CONFUSED:
-        for b in others:
-            out[a, b] = out[b, a] = cost
+def seen_form(text: str) -> str:
+    """Lower-case letters and digits, with pairs that look like one letter merged."""
+    out = re.sub("[^a-z0-9]", "", text.lower())
+    for pair, one in MERGED:
+        out = out.replace(pair, one)
     return out
 
 
-_COST = _costs()
-
-
 def weighted_distance(a: str, b: str) -> float:
-    """Edit distance in which look-alike letters are cheap to replace."""
+    """Edit distance of seen forms in which look-alike letters are cheap to replace."""
+    a, b = seen_form(a), seen_form(b)
     row = [float(j) for j in range(len(b) + 1)]
     for i, x in enumerate(a, 1):
         before, row[0] = row[0], float(i)

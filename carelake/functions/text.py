@@ -20,7 +20,7 @@ def slug(c: Column) -> Column:
 
 
 #: Characters that recognition confuses, and pairs of them, in the order in which they are replaced.
-LOOKALIKES = ("01|!528i", "olllszbl")
+LOOKALIKES = ("01|!528", "olllszb")
 LOOKALIKE_PAIRS = (("vv", "w"), ("rn", "m"), ("cl", "d"), ("ph", "f"))
 
 
@@ -28,7 +28,7 @@ def lookalike_key(c: Column) -> Column:
     out = F.translate(F.lower(c), *LOOKALIKES)
     for pair, one in LOOKALIKE_PAIRS:
         out = F.regexp_replace(out, pair, one)
-    return F.regexp_replace(out, "[^a-z]+", "")
+    return F.regexp_replace(out, "[^a-z0-9]", "")
 
 
 def squeezed(c: Column, limit: int) -> Column:
@@ -66,28 +66,30 @@ def edit_similarity(left: Column, right: Column) -> Column:
     return F.when(longest == 0, 1.0).otherwise(1.0 - F.levenshtein(left, right) / longest)
 
 
-#: Units and the pattern of a strength.
-STRENGTH = r"(?i)(\d+(?:\.\d+)?(?:[/+-]\d+(?:\.\d+)?)?)\s*(mcg|µg|ug|mg|g|ml|iu|units?)\b"
+#: The patterns of a prescription line's parts.
+STRENGTH = r"(?i)\b(\d+(?:\.\d+)?(?:\s*[/+-]\s*\d+(?:\.\d+)?)?)\s*(mcg|\u00b5g|ug|mg|g|ml|iu|units?)\b"
+DURATION = r"(?i)\b(?:for\s+|x\s*)?(\d+)\s*(day|days|week|weeks|month|months)\b"
+QUANTITY = r"(?i)(?:#|qty\s*[:-]?\s*)(\d+)|\b(\d+)\s*(?:tablets?|tabs?|capsules?|caps?|pills?)\b"
+#: Frequencies in the order in which their patterns are tried.
+FREQUENCIES = (
+    (r"(?:^|\s)\d+\s*[-+]\s*\d+\s*[-+]\s*\d+(?:\s|$)", "CUSTOM"),
+    (r"(?i)\b(?:as\s+needed|sos|prn)\b", "AS_NEEDED"),
+    (r"(?i)\b(?:four\s+times\s+(?:a\s+)?day|qid)\b", "FOUR_TIMES_DAILY"),
+    (r"(?i)\b(?:three\s+times\s+(?:(?:a\s+)?day|daily)|tds|tid)\b", "THREE_TIMES_DAILY"),
+    (r"(?i)\b(?:twice\s+daily|twice\s+(?:a\s+)?day|bd|bid)\b", "TWICE_DAILY"),
+    (r"(?i)\b(?:once\s+daily|once\s+(?:a\s+)?day|daily|od)\b", "DAILY"),
+    (r"(?i)\b(?:once\s+weekly|weekly)\b", "WEEKLY"),
+)
 
 
 def strength(c: Column) -> Column:
+    """The first strength of a line without spaces and in lower case, null where there is none."""
     found = F.regexp_extract(c, STRENGTH, 0)
     return F.when(found != "", F.lower(F.regexp_replace(found, r"\s+", "")))
 
 
-#: Frequencies in the order in which their patterns are tried.
-FREQUENCIES = (
-    (r"\b\d-\d-\d\b", "CUSTOM"),
-    (r"(?i)\b(?:sos|prn|as needed|when required)\b", "AS_NEEDED"),
-    (r"(?i)\b(?:qid|four times)\b", "FOUR_TIMES_DAILY"),
-    (r"(?i)\b(?:tds|tid|thrice|three times)\b", "THRICE_DAILY"),
-    (r"(?i)\b(?:bd|bid|twice)\b", "TWICE_DAILY"),
-    (r"(?i)\b(?:weekly|once a week)\b", "WEEKLY"),
-    (r"(?i)\b(?:od|once|daily|hs)\b", "DAILY"),
-)
-
-
 def frequency(c: Column) -> Column:
+    """The first frequency whose pattern a line has, null where it has none."""
     out = None
     for pattern, name in FREQUENCIES:
         out = F.when(c.rlike(pattern), F.lit(name)) if out is None else out.when(c.rlike(pattern), F.lit(name))
@@ -95,15 +97,13 @@ def frequency(c: Column) -> Column:
 
 
 def duration_days(c: Column) -> Column:
-    pattern = r"(?i)(\d+)\s*(day|week|month)"
-    n, unit = F.regexp_extract(c, pattern, 1), F.lower(F.regexp_extract(c, pattern, 2))
-    factor = F.when(unit == "week", 7).when(unit == "month", 30).otherwise(1)
+    n, unit = F.regexp_extract(c, DURATION, 1), F.lower(F.regexp_extract(c, DURATION, 2))
+    factor = F.when(unit.startswith("week"), 7).when(unit.startswith("month"), 30).otherwise(1)
     return F.when(n != "", n.try_cast("long") * factor)
 
 
 def quantity(c: Column) -> Column:
-    ways = (r"#\s*(\d+)", r"(?i)\bqty\.?\s*:?\s*(\d+)", r"(?i)\b(\d+)\s*(?:tablets|tabs|capsules|caps)\b")
-    return F.coalesce(*[F.nullif(F.regexp_extract(c, w, 1), F.lit("")).try_cast("long") for w in ways])
+    return F.coalesce(*[F.nullif(F.regexp_extract(c, QUANTITY, i), F.lit("")).try_cast("long") for i in (1, 2)])
 
 
 def gtin_valid(c: Column) -> Column:
@@ -116,9 +116,9 @@ def gtin_valid(c: Column) -> Column:
 
 
 def price(c: Column) -> Column:
-    """A decimal price without currency signs, commas and spaces; null where nothing else is left than a number."""
+    """A price of up to four decimals without rupee signs, commas and spaces; null where anything else is left."""
     bare = F.regexp_replace(c, r"[₹,\s]", "")
-    return F.when(bare.rlike(r"^\d+(\.\d+)?$"), bare.try_cast("decimal(10,2)"))
+    return F.when(bare.rlike(r"^\d+(\.\d{1,4})?$"), bare.try_cast("decimal(18,2)"))
 
 
 def truth(c: Column) -> Column:

@@ -20,48 +20,79 @@ def own_blocks(key: Column) -> Column:
     return F.array_distinct(F.array(F.concat(F.lit("="), key), F.concat(F.lit("p:"), F.substring(key, 1, 4)), length))
 
 
-def fuzzy_join(left: DataFrame, right: DataFrame, least: float = 0.75) -> DataFrame:
-    """Pairs of (left_id, left_key) and (right_id, right_key) that match: equal, or within one or two edits.
+def fuzzy_keys(left: DataFrame, right: DataFrame, least: float = 0.75) -> DataFrame:
+    """Keys of (left_id, left_key) and (right_id, right_key) that match, with the numbers of ids that have them.
 
-    One edit up to six letters, else two with a similarity of at least `least`. Keys are matched once each, so
-    repeated names cost nothing; pairs are expanded to ids at the end.
+    They match when equal, or within one edit up to six letters, else two with a similarity of at least `least`. Keys
+    are matched once each, and pairs aren't expanded to ids: joining either side on its key gives the members.
     """
-    lk = left.select("left_key").distinct().withColumn("block", F.explode(blocks(F.col("left_key"))))
-    rk = right.select("right_key").distinct().withColumn("block", F.explode(own_blocks(F.col("right_key"))))
+    lk = left.groupBy("left_key").agg(F.count("*").alias("left_ids"))
+    rk = right.groupBy("right_key").agg(F.count("*").alias("right_ids"))
+    lb = lk.withColumn("block", F.explode(blocks(F.col("left_key"))))
+    rb = rk.withColumn("block", F.explode(own_blocks(F.col("right_key"))))
     edits = F.levenshtein("left_key", "right_key")
     close = F.when(F.length("left_key") <= 6, edits <= 1).otherwise(
         (edits <= 2) & (X.edit_similarity(F.col("left_key"), F.col("right_key")) >= least)
     )
-    keys = lk.join(rk, "block").select("left_key", "right_key").distinct().withColumn("edits", edits).where(close)
-    return left.join(keys, "left_key").join(right, "right_key").select("left_id", "right_id", F.col("edits").cast("long"))
+    both = lb.join(rb, "block").where(close)
+    return both.select("left_key", "right_key", edits.cast("long").alias("edits"), "left_ids", "right_ids").distinct()
+
+
+def _pieces(text: Column, n: int) -> Column:
+    """What stands in each of n cuts of a text into parts of nearly equal length, with its place from the front."""
+    size = F.length(text)
+    cut = [F.floor(size * i / n).cast("int") for i in range(n + 1)]
+    return F.array(*[F.struct(F.lit(i).alias("i"), F.substring(text, cut[i] + 1, cut[i + 1] - cut[i]).alias("piece"), cut[i].alias("at")) for i in range(n)])
 
 
 def best_match(names: DataFrame, dictionary: DataFrame, least: float = 0.82) -> DataFrame:
-    """The most similar entry of a small dictionary for each name: (id, entry, similarity); ties go to the lesser entry.
+    """The most similar dictionary entry of each name: (id, entry, similarity); ties go to the lesser entry.
 
-    The dictionary is broadcast, so it has to be a bounded list of reference names.
+    A similarity of `least` allows an entry of m letters at most d = (1 / least - 1) * m edits, so of d + 1 pieces of it
+    one stands unchanged in the name, moved by d places at most. The join is on piece, length and place; only equal
+    pieces meet. Names are matched once each. Entries with hot pieces are split by their length.
     """
+    edits = F.floor((1 / least - 1) * F.length("entry") + 1e-9).cast("int")
+    entries = dictionary.select("entry").where("entry is not null").distinct().withColumn("d", edits)
+    most = entries.agg(F.coalesce(F.max("d"), F.lit(0))).first()[0]
+    cut = F.array(*[F.when(F.col("d") == d, _pieces(F.col("entry"), d + 1)) for d in range(most + 1)])
+    held = entries.select("entry", "d", F.explode(cut[F.col("d")]).alias("p")).where("p.piece != ''")
+    held = held.select("entry", "d", "p.piece", F.col("p.at").alias("at"), F.length("p.piece").alias("w"))
+    spans = held.select("w", "at", "d").groupBy("w", "at").agg(F.max("d").alias("reach"))
+    asked = names.select("name").where("name is not null").distinct()
+    # Which widths and places pieces have is a table of lengths, not of entries.
+    widths = F.broadcast(spans.groupBy().agg(F.collect_set(F.struct("w", "at", "reach")).alias("spans")))
+    places = F.sequence(F.greatest(F.col("s.at") - F.col("s.reach"), F.lit(0)), F.col("s.at") + F.col("s.reach"))
+    cutouts = asked.join(widths).select("name", F.explode("spans").alias("s")).select("name", "s.w", "s.at", F.explode(places).alias("x"))
+    cutouts = cutouts.where(F.col("x") + F.col("w") <= F.length("name")).select("name", "at", F.substring("name", F.col("x") + 1, F.col("w")).alias("piece"))
     score = X.edit_similarity(F.col("name"), F.col("entry"))
-    both = names.crossJoin(F.broadcast(dictionary)).withColumn("similarity", score).where(F.col("similarity") >= least)
-    order = W.Window.partitionBy("id").orderBy(F.desc("similarity"), "entry")
-    return both.withColumn("rn", F.row_number().over(order)).where("rn = 1").select("id", "entry", "similarity")
+    both = cutouts.distinct().join(held, ["piece", "at"]).select("name", "entry").distinct().withColumn("similarity", score)
+    best = both.where(F.col("similarity") >= least).groupBy("name").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "entry")).alias("b"))
+    return names.join(best, "name").select("id", F.col("b.entry").alias("entry"), (-F.col("b.s")).alias("similarity"))
 
 
 def search(queries: DataFrame, catalogue: DataFrame, k: int) -> DataFrame:
-    """The k best catalogue rows for each query (qid, q): exact names, then prefixes, then contained words.
+    """The k best catalogue names (name, rank) for each query (qid, q): equal ones, then prefixes, then contained ones.
 
-    catalogue is (id, name, rank). Candidates share a word with the query, so the join is on words.
+    Both are lower-case and names are distinct. Candidates hold the query's first three letters somewhere (or all of a
+    shorter one), or share a whole word with it, so the join is on runs of letters and on words.
     """
-    qs = queries.withColumn("word", F.explode(F.array_distinct(F.split(F.lower("q"), " "))))
-    words = catalogue.withColumn("word", F.explode(F.array_distinct(F.split(F.lower("name"), " "))))
-    hits = qs.join(words, "word").groupBy("qid", "q", "id", "name", "rank").agg(F.count("*").alias("words"))
-    name, q = F.lower("name"), F.lower("q")
-    score = F.when(name == q, 1.0).when(name.startswith(q), 0.9).when(name.contains(q), 0.75).otherwise(
-        0.35 + 0.1 * F.col("words")
-    )
-    order = W.Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("rank"), "name", "id")
-    hits = hits.withColumn("score", score).withColumn("position", F.row_number().over(order).cast("long"))
-    return hits.where(F.col("position") <= k).select("qid", "id", "score", "position")
+    width = 3
+    starts = F.sequence(F.lit(1), F.greatest(F.length("name"), F.lit(1)))
+    runs = F.transform(starts, lambda i: F.substring(F.col("name"), i, F.lit(width)))
+    short = [F.transform(starts, lambda i, n=n: F.substring(F.col("name"), i, F.lit(n))) for n in range(1, width)]
+    words = F.transform(F.split("name", " "), lambda x: F.concat(F.lit("w:"), x))
+    keys = F.array_distinct(F.concat(runs, *short, words))
+    asked = F.array_distinct(F.concat(F.array(F.substring("q", 1, width)), F.transform(F.split("q", " "), lambda x: F.concat(F.lit("w:"), x))))
+    hits = queries.withColumn("key", F.explode(asked)).join(catalogue.withColumn("key", F.explode(keys)), "key")
+    hits = hits.select("qid", "q", "name", "rank").distinct()
+    name, q = F.col("name"), F.col("q")
+    common = F.size(F.array_intersect(F.split(q, " "), F.split(name, " ")))
+    score = F.when(name == q, 1.0).when(name.startswith(q), 0.9).when(name.contains(q), 0.75).otherwise(0.35 + 0.1 * common)
+    order = W.Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("rank"), "name")
+    hits = hits.where(name.contains(q) | (common > 0)).withColumn("score", score)
+    hits = hits.withColumn("position", F.row_number().over(order).cast("long"))
+    return hits.where(F.col("position") <= k).select("qid", "name", "score", "position")
 
 
 def resolution(scores: DataFrame, strong: float = 0.9, possible: float = 0.7) -> DataFrame:
@@ -81,21 +112,28 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
 def nearest(points: DataFrame, places: DataFrame, radius_km: float, k: int) -> DataFrame:
     """The k nearest places within a radius of each point: (point_id, place_id, km, rank).
 
-    Both sides are dealt to grid cells of about the radius; a point looks into its own cell and those around it, so the
-    join is on cells. Cells widen towards the poles, where this grid must not be used beyond 80 degrees.
+    Both sides are dealt to grid cells of latitude bands a radius high; a band's cells are as wide as the radius is at
+    its edge nearest to a pole, so each point looks into three cells of three bands. Longitudes wrap around, and bands
+    at the poles are one cell.
     """
-    size = radius_km / 111.0
-    lon_size = size / 0.17
-
-    def cell(lat: Column, lon: Column) -> tuple[Column, Column]:
-        return F.floor(lat / size).cast("long"), F.floor(lon / lon_size).cast("long")
-
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    x, y = cell(F.col("lat"), F.col("lon"))
-    left = points.select("point_id", "lat", "lon", x.alias("x"), y.alias("y"), around.alias("d"))
-    left = left.select("point_id", "lat", "lon", (F.col("x") + F.col("d.i")).alias("x"), (F.col("y") + F.col("d.j")).alias("y"))
-    px, py = cell(F.col("plat"), F.col("plon"))
-    right = places.select("place_id", "plat", "plon", px.alias("x"), py.alias("y"))
+    high = F.lit(max(radius_km / 111.0, 0.01))
+
+    def cells(band: Column) -> Column:
+        """How many cells a band has: each at least a radius wide everywhere in it."""
+        edge = F.least(F.greatest(F.abs(band * high), F.abs((band + 1) * high)), F.lit(90.0))
+        return F.greatest(F.floor(360.0 * F.cos(F.radians(edge)) / high).cast("long"), F.lit(1))
+
+    def cell(lon: Column, n: Column) -> Column:
+        return F.pmod(F.floor((lon + 180.0) / 360.0 * n).cast("long"), n)
+
+    band = F.floor(F.col("lat") / high).cast("long")
+    left = points.select("point_id", "lat", "lon", F.explode(F.array(band - 1, band, band + 1)).alias("x"))
+    n = cells(F.col("x"))
+    mine = cell(F.col("lon"), n)
+    around = F.array_distinct(F.array(*[F.pmod(mine + d, n) for d in (-1, 0, 1)]))
+    left = left.select("point_id", "lat", "lon", "x", F.explode(around).alias("y"))
+    there = F.floor(F.col("plat") / high).cast("long")
+    right = places.select("place_id", "plat", "plon", there.alias("x"), cell(F.col("plon"), cells(there)).alias("y"))
     km = haversine_km(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
     both = left.join(right, ["x", "y"]).withColumn("km", km).where(F.col("km") <= radius_km)
     order = W.Window.partitionBy("point_id").orderBy("km", "place_id")

@@ -20,29 +20,35 @@ def nested_latest(rows: DataFrame, key: str, order: list, n: int, item: Column)
     return ranked.groupBy(key).agg(F.transform(entries, lambda x: x["item"]).alias("items"))
 
 
-def stock_status(remaining: Column, daily: Column) -> Column:
-    """The names of stock levels and the days of supply where they end."""
-    days = F.floor(remaining / daily)
+def stock_status(remaining: Column, days: Column, threshold: Column) -> Column:
+    """The names of stock levels and the days of supply where they end. days and threshold may be null."""
+    low = F.coalesce(remaining <= threshold, F.lit(False)) | F.coalesce(days <= 7, F.lit(False))
     return (
         F.when(remaining.isNull(), F.lit("UNKNOWN"))
         .when(remaining <= 0, F.lit("OUT"))
-        .when(daily.isNull() | (daily <= 0), F.lit("NO_USAGE"))
         .when(days <= 3, F.lit("CRITICAL"))
-        .when(days <= 7, F.lit("LOW"))
-        .otherwise(F.lit("ADEQUATE"))
+        .when(low, F.lit("LOW"))
+        .when(days <= 14, F.lit("ADEQUATE"))
+        .when(days.isNull() & threshold.isNull(), F.lit("UNKNOWN"))
+        .otherwise(F.lit("GOOD"))
     )
 
 
 def forecast(stock: DataFrame, today: str) -> DataFrame:
-    """Days of supply and a suggested refill date, five days ahead of the end but never past."""
+    """Days of supply, status, need of a refill and a suggested date: five days ahead of the end, never past.
+
+    stock is (id, remaining, daily, threshold); without a known amount and use there is no forecast and no date.
+    """
     days = F.when((F.col("daily") > 0) & F.col("remaining").isNotNull(), F.floor(F.col("remaining") / F.col("daily")).cast("long"))
-    now = F.lit(today).cast("date")
-    suggested = F.date_add(now, F.greatest(F.lit(0), F.coalesce(days, F.lit(0)) - 5).cast("int"))
-    return stock.select(
+    rows = stock.withColumn("days", days)
+    status = stock_status(F.col("remaining"), F.col("days"), F.col("threshold"))
+    suggested = F.date_add(F.lit(today).cast("date"), F.greatest(F.lit(0), F.col("days") - 5).cast("int"))
+    return rows.select(
         "id",
-        stock_status(F.col("remaining"), F.col("daily")).alias("status"),
-        F.coalesce(days, F.lit(-1)).alias("days"),
-        F.when(days.isNotNull(), suggested).otherwise(now).alias("suggested"),
+        status.alias("status"),
+        F.coalesce("days", F.lit(-1)).alias("days"),
+        status.isin("OUT", "CRITICAL", "LOW").alias("needs_refill"),
+        F.when(F.col("days").isNotNull(), suggested).alias("suggested"),
     )
 
 

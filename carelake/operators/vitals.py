@@ -106,7 +106,7 @@ def ingest(readings: DataFrame, now: str, tolerance_minutes: int = 5) -> DataFra
 
 
 def cooldown(alerts: DataFrame, critical_minutes: int = 5, other_minutes: int = 30) -> DataFrame:
-    """Which alerts are sent: none within a quiet time after the last one *sent* for its user and metric.
+    """Which alerts are sent: none up to and at the end of a quiet time after the last one *sent* for its user and metric.
 
     alerts holds (id, user_id, metric, critical, at). Each decision rests on the one before, so a group is folded in
     order; groups are a user's alerts of one metric.
@@ -117,7 +117,7 @@ def cooldown(alerts: DataFrame, critical_minutes: int = 5, other_minutes: int =
         sent, last = [], None
         for at, critical in zip(frame["at"], frame["critical"]):
             quiet = pd.Timedelta(minutes=critical_minutes if critical else other_minutes)
-            ok = last is None or at - last >= quiet
+            ok = last is None or at - last > quiet
             last = at if ok else last
             sent.append(ok)
         return pd.DataFrame({"id": frame["id"], "sent": sent})
@@ -125,23 +125,34 @@ def cooldown(alerts: DataFrame, critical_minutes: int = 5, other_minutes: int =
     return alerts.groupBy("user_id", "metric").applyInPandas(fold, "id long, sent boolean")
 
 
-#: Limits of the safety rules, as (metric, relation, limit, severity, reason), the first that holds counts.
-SAFETY = (
-    ("HEART_RATE", ">=", 131, "CRITICAL", "heart rate very high"),
-    ("HEART_RATE", "<=", 40, "CRITICAL", "heart rate very low"),
-    ("HEART_RATE", ">", 110, "WARNING", "heart rate high"),
-    ("OXYGEN_SATURATION", "<", 90, "CRITICAL", "oxygen very low"),
-    ("OXYGEN_SATURATION", "<", 94, "WARNING", "oxygen low"),
-    ("BLOOD_GLUCOSE", "<", 54, "CRITICAL", "glucose very low"),
-    ("BLOOD_GLUCOSE", "<", 70, "WARNING", "glucose low"),
-    ("BLOOD_GLUCOSE", ">", 250, "WARNING", "glucose high"),
-)
-
-
-def safety(metric: Column, value: Column, questionable: Column) -> Column:
-    """A struct of severity and reason; a questionable reading is never judged."""
-    out = F.when(questionable, F.struct(F.lit("QUESTIONABLE").alias("severity"), F.lit("check the reading").alias("reason")))
-    for name, relation, limit, severity, reason in SAFETY:
-        holds = {">=": value >= limit, "<=": value <= limit, ">": value > limit, "<": value < limit}[relation]
-        out = out.when((metric == name) & holds, F.struct(F.lit(severity).alias("severity"), F.lit(reason).alias("reason")))
-    return out.otherwise(F.struct(F.lit("NORMAL").alias("severity"), F.lit("").alias("reason")))
+def safety(metric: Column, value: Column, second: Column, context: Column, questionable: Column) -> Column:
+    """A struct of status, severity and reason; the first rule that holds counts, and null values trigger none.
+
+    second is the diastolic pressure, context the meal status of glucose or the activity of a heart rate. A
+    questionable reading is never judged. The limits and names are fixed values.
+    """
+
+    def told(status: str, severity: str, reason: str) -> Column:
+        return F.struct(F.lit(status).alias("status"), F.lit(severity).alias("severity"), F.lit(reason).alias("reason"))
+
+    pressure, glucose = metric == "BLOOD_PRESSURE", metric == "BLOOD_GLUCOSE"
+    heart, oxygen = metric == "HEART_RATE", metric == "OXYGEN_SATURATION"
+    fasting, resting = context == "FASTING", context == "RESTING"
+    rules = (
+        (questionable, ("VERIFY_READING", "MEDIUM", "UNVERIFIED_SOURCE")),
+        (pressure & ((value >= 180) | (second >= 120)), ("URGENT_HELP", "CRITICAL", "BP_VERY_HIGH")),
+        (pressure & ((value >= 140) | (second >= 90)), ("RECHECK", "HIGH", "BP_ELEVATED")),
+        (pressure & ((value < 90) | (second < 60)), ("RECHECK", "MEDIUM", "BP_LOW")),
+        (glucose & (value < 54), ("URGENT_HELP", "CRITICAL", "GLUCOSE_VERY_LOW")),
+        (glucose & (value < 70), ("RECHECK", "HIGH", "GLUCOSE_LOW")),
+        (glucose & (value >= 300), ("CONTACT_CLINICIAN", "CRITICAL", "GLUCOSE_VERY_HIGH")),
+        (glucose & ((fasting & (value >= 126)) | (value >= 200)), ("RECHECK", "HIGH", "GLUCOSE_ELEVATED")),
+        (heart & ((value < 40) | (value > 150)), ("URGENT_HELP", "CRITICAL", "HEART_RATE_EXTREME")),
+        (heart & resting & ((value < 50) | (value > 100)), ("RECHECK", "MEDIUM", "RESTING_HEART_RATE_OUTSIDE_RANGE")),
+        (oxygen & (value <= 88), ("URGENT_HELP", "CRITICAL", "OXYGEN_SATURATION_VERY_LOW")),
+        (oxygen & (value <= 92), ("CONTACT_CLINICIAN", "HIGH", "OXYGEN_SATURATION_LOW")),
+    )
+    out = F.when(rules[0][0], told(*rules[0][1]))
+    for holds, names in rules[1:]:
+        out = out.when(holds, told(*names))
+    return out.otherwise(told("NORMAL", "INFO", "NO_RULE_TRIGGERED"))

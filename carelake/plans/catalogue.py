@@ -34,24 +34,32 @@ def _rows(spark, sf_dir):
     )
 
 
-@query(f"WITH {_ROWS} SELECT n, key, n > min(n) OVER (PARTITION BY key) AS duplicate FROM r")
+_MARKED = "d AS (SELECT *, coalesce(n > min(n) FILTER (valid) OVER (PARTITION BY key), false) AS duplicate FROM r)"
+
+
+@query(f"WITH {_ROWS}, {_MARKED} SELECT n, key, duplicate FROM d")
 def in_file_duplicates(spark, sf_dir):
-    return C.first_in_file(_rows(spark, sf_dir), "key", "n").select("n", "key", "duplicate")
+    """Rows that repeat a valid one. Their second key holds the first, so that SQL can say it without rounds."""
+    return _marked(spark, sf_dir).select("n", "key", "duplicate")
+
+
+def _marked(spark, sf_dir):
+    rows = _rows(spark, sf_dir).withColumn("identity", F.concat_ws("|", "key", "name"))
+    return C.first_in_file(rows, ["key", "identity"], "n", "valid")
 
 
 _EXISTING = """e AS (SELECT lower(p_name) || '|' || p_brand AS key, min(p_type) AS stored, min(p_partkey) % 5 = 0 AS protected
-    FROM part WHERE p_partkey % 2 = 0 GROUP BY 1)"""
-_ACTIONS = f"""WITH {_ROWS}, d AS (SELECT *, n > min(n) OVER (PARTITION BY key) AS duplicate FROM r), {_EXISTING},
+    FROM part GROUP BY 1 HAVING min(p_retailprice) < 1200)"""
+_ACTIONS = f"""WITH {_ROWS}, {_MARKED}, {_EXISTING},
     a AS (SELECT n, CASE WHEN duplicate THEN 'DUPLICATE_IN_FILE' WHEN NOT valid THEN 'INVALID' WHEN protected OR stored = name THEN 'NOOP'
     WHEN stored IS NOT NULL THEN 'UPDATE' ELSE 'CREATE' END AS action FROM d LEFT JOIN e USING (key))"""
 
 
 def _actions(spark, sf_dir):
-    rows = C.first_in_file(_rows(spark, sf_dir), "key", "n")
-    known = _rows(spark, sf_dir).where("n % 2 = 0").groupBy("key").agg(
-        F.min("name").alias("stored_name"), (F.min("n") % 5 == 0).alias("protected")
+    known = _parts(spark, sf_dir).groupBy(F.concat_ws("|", F.lower("p_name"), "p_brand").alias("key")).agg(
+        F.min("p_type").alias("stored_name"), (F.min("p_partkey") % 5 == 0).alias("protected"), F.min("p_retailprice").alias("price")
     )
-    return C.actions(rows, known)
+    return C.actions(_marked(spark, sf_dir), known.where("price < 1200").drop("price"))
 
 
 @query(_ACTIONS + " SELECT * FROM a")
@@ -104,19 +112,20 @@ def merge_repoint(spark, sf_dir):
     return C.repoint(lines, _plan(spark, sf_dir), "l_partkey")
 
 
-@query("SELECT p_partkey AS id, coalesce(CASE WHEN p_partkey % 3 = 0 THEN p_partkey // 2 END, p_partkey) AS resolved FROM part")
+@query("""WITH m AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN p_partkey * 2 // 3 END AS merged_into, p_size > 40 AS archived FROM part)
+    SELECT m.id, CASE WHEN m.merged_into IS NULL THEN m.id ELSE t.id END AS resolved FROM m LEFT JOIN m t ON t.id = m.merged_into AND NOT t.archived""")
 def merge_redirect(spark, sf_dir):
     key = F.col("p_partkey")
-    rows = _parts(spark, sf_dir).select(key.alias("id"), F.when(key % 3 == 0, F.floor(key / 2).cast("long")).alias("merged_into"))
-    return C.redirected(rows)
+    target = F.when(key % 3 == 0, F.floor(key * 2 / 3).cast("long"))
+    return C.redirected(_parts(spark, sf_dir).select(key.alias("id"), target.alias("merged_into"), (F.col("p_size") > 40).alias("archived")))
 
 
 @query(f"""WITH {DOSES}, n AS (SELECT medicine_id AS key, count(*) AS n FROM doses WHERE status = 'MISSED' GROUP BY 1),
-    s AS (SELECT p_partkey AS key, p_partkey % 7 AS demand FROM part WHERE p_partkey % 2 = 0)
+    s AS (SELECT p_partkey AS key, p_partkey % 7 AS demand FROM part WHERE p_size <= 25)
     SELECT coalesce(s.key, n.key) AS key, coalesce(demand, 0) + coalesce(n, 0) AS demand FROM s FULL OUTER JOIN n ON s.key = n.key""")
 def demand_counter(spark, sf_dir):
     key = F.col("p_partkey")
-    stored = _parts(spark, sf_dir).where(key % 2 == 0).select(key.alias("key"), (key % 7).alias("demand"))
+    stored = _parts(spark, sf_dir).where("p_size <= 25").select(key.alias("key"), (key % 7).alias("demand"))
     asked = doses(spark, sf_dir).where("status = 'MISSED'").select(F.col("medicine_id").alias("key"))
     return C.demand(stored, asked)
 
@@ -137,22 +146,39 @@ def coverage_report(spark, sf_dir):
     )
 
 
-_CODES = ["4006381333931", "4006381333932", "96385074", "036000291452", "12345678901231", "123", "abc"]
-
-
-@query("""WITH c(code, ok) AS (VALUES ('4006381333931', true), ('4006381333932', false), ('96385074', true), ('036000291452', true), ('12345678901231', true), ('123', false), ('abc', false)) SELECT code, ok AS valid FROM c""")
+@query("""WITH c AS (SELECT p_partkey AS id, CAST(p_partkey * 7919 + 10000000 AS VARCHAR) AS code FROM part
+      UNION ALL SELECT o_orderkey + 1000000000, CAST(o_orderkey * 104729 + 1000000000000 AS VARCHAR) FROM orders
+      UNION ALL SELECT o_orderkey + 2000000000, '0' || CAST(o_orderkey * 1299709 AS VARCHAR) || 'x' FROM orders WHERE o_orderkey % 50 = 0),
+    d AS (SELECT id, code, list_transform(range(1, length(code) + 1), lambda i: try_cast(substr(reverse(code), i, 1) AS BIGINT) * CASE WHEN i % 2 = 0 THEN 3 ELSE 1 END) AS w FROM c)
+    SELECT id, code, regexp_matches(code, '^([0-9]{8}|[0-9]{12,14})$') AND coalesce(list_sum(w), 0) % 10 = 0 AS valid FROM d""")
 def gtin_checksums(spark, sf_dir):
-    rows = spark.createDataFrame([(x,) for x in _CODES], "code string")
-    return rows.select("code", X.gtin_valid(F.col("code")).alias("valid"))
-
-
-@query("""WITH c(raw, price, told) AS (VALUES ('₹87.5', 87.50, ''), ('1,200', 1200.00, ''), ('not-a-price', -1, 'price ignored'), (' 12 ', 12.00, '')) SELECT raw, CAST(price AS DECIMAL(10,2)) AS price, told AS warning FROM c""")
+    """Codes of 8 and 13 digits from keys, and some that aren't digits alone."""
+    part, orders = _parts(spark, sf_dir), table(spark, sf_dir, "orders")
+    key, order = F.col("p_partkey"), F.col("o_orderkey")
+    rows = part.select(key.alias("id"), (key * 7919 + 10000000).cast("string").alias("code"))
+    rows = rows.union(orders.select(order + 1000000000, (order * 104729 + 1000000000000).cast("string")))
+    odd = orders.where("o_orderkey % 50 = 0").select(order + 2000000000, F.concat(F.lit("0"), (order * 1299709).cast("string"), F.lit("x")))
+    return rows.union(odd).select("id", "code", X.gtin_valid(F.col("code")).alias("valid"))
+
+
+@query("""WITH r AS (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN '₹' || CAST(CAST(p_retailprice * 10 AS BIGINT) / 10.0 AS DECIMAL(12,1)) WHEN 1 THEN ' 1,' || CAST(p_size + 100 AS VARCHAR) || ' '
+      WHEN 2 THEN p_name ELSE CAST(p_size AS VARCHAR) || '.12345' END AS raw FROM part),
+    b AS (SELECT id, raw, regexp_replace(raw, '[₹,\\s]', '', 'g') AS bare FROM r)
+    SELECT id, raw, CASE WHEN regexp_matches(bare, '^[0-9]+([.][0-9]{1,4})?$') THEN CAST(bare AS DECIMAL(18,2)) END AS price,
+           CASE WHEN regexp_matches(bare, '^[0-9]+([.][0-9]{1,4})?$') THEN '' ELSE 'price ignored: invalid decimal value.' END AS warning FROM b""".replace("\\\\", "\\"))
 def price_parse(spark, sf_dir):
-    rows = spark.createDataFrame([("₹87.5",), ("1,200",), ("not-a-price",), (" 12 ",)], "raw string")
-    price = X.price(F.col("raw"))
-    return rows.select(
-        "raw", F.coalesce(price, F.lit(-1)).cast("decimal(10,2)").alias("price"), F.when(price.isNull(), F.lit("price ignored")).otherwise(F.lit("")).alias("warning")
+    key, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    tenths = (F.round(F.col("p_retailprice") * 10).cast("long") / 10.0).cast("decimal(12,1)").cast("string")
+    raw = (
+        F.when(key % 4 == 0, F.concat(F.lit("₹"), tenths))
+        .when(key % 4 == 1, F.concat(F.lit(" 1,"), (F.col("p_size") + 100).cast("string"), F.lit(" ")))
+        .when(key % 4 == 2, F.col("p_name"))
+        .otherwise(F.concat(size, F.lit(".12345")))
     )
+    rows = _parts(spark, sf_dir).select(key.alias("id"), raw.alias("raw"))
+    price = X.price(F.col("raw"))
+    told = F.when(price.isNull(), F.lit("price ignored: invalid decimal value.")).otherwise(F.lit(""))
+    return rows.select("id", "raw", price.alias("price"), told.alias("warning"))
 
 
 @query("""WITH h AS (SELECT page_id, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS host FROM pages)

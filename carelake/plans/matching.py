@@ -30,16 +30,15 @@ def name_similarity(spark, sf_dir):
     )
 
 
-@query("""WITH k AS (SELECT p_partkey AS id, regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') AS k FROM part WHERE p_partkey < 500),
-    m AS (SELECT p_partkey AS id, substr(regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g'), 2) AS k FROM part WHERE p_partkey < 200)
-    SELECT m.id AS left_id, k.id AS right_id, CAST(levenshtein(m.k, k.k) AS BIGINT) AS edits FROM m JOIN k ON
+@query("""WITH k AS (SELECT regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') AS k, count(*) AS n FROM part GROUP BY 1), m AS (SELECT substr(k, 2) AS k, sum(n) AS n FROM k GROUP BY 1)
+    SELECT m.k AS left_key, k.k AS right_key, CAST(levenshtein(m.k, k.k) AS BIGINT) AS edits, CAST(m.n AS BIGINT) AS left_ids, k.n AS right_ids FROM m JOIN k ON
     (m.k = k.k OR substr(m.k, 1, 4) = substr(k.k, 1, 4) OR (substr(m.k, 1, 1) = substr(k.k, 1, 1) AND abs(length(m.k) - length(k.k)) <= 2))
     AND CASE WHEN length(m.k) <= 6 THEN levenshtein(m.k, k.k) <= 1 ELSE levenshtein(m.k, k.k) <= 2 AND 1.0 - levenshtein(m.k, k.k) / greatest(length(m.k), length(k.k))::DOUBLE >= 0.75 END""")
 def fuzzy_match(spark, sf_dir):
+    """All part names, one letter short, against all part names: matching keys and how many parts have each."""
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), X.name_key(F.col("p_name")).alias("k"))
-    left = part.where("id < 200").select(F.col("id").alias("left_id"), F.expr("substring(k, 2)").alias("left_key"))
-    right = part.where("id < 500").select(F.col("id").alias("right_id"), F.col("k").alias("right_key"))
-    return M.fuzzy_join(left, right)
+    left = part.select(F.col("id").alias("left_id"), F.expr("substring(k, 2)").alias("left_key"))
+    return M.fuzzy_keys(left, part.select(F.col("id").alias("right_id"), F.col("k").alias("right_key")))
 
 
 @query("""WITH d AS (SELECT DISTINCT p_name AS entry FROM part), n AS (SELECT p_partkey AS id, p_name || 'x' AS name FROM part),
@@ -51,19 +50,20 @@ def best_dictionary_match(spark, sf_dir):
     return M.best_match(names, part.select(F.col("p_name").alias("entry")).distinct())
 
 
-_SEARCH = """WITH q AS (SELECT * FROM (VALUES (1, 'red'), (2, 'blue widget'), (3, 'large'), (4, 'zzz')) AS v(qid, q)),
-    c AS (SELECT p_partkey AS id, p_name AS name, p_size AS rank FROM part),
-    w AS (SELECT id, name, rank, unnest(list_distinct(string_split(lower(name), ' '))) AS word FROM c),
-    x AS (SELECT qid, q, unnest(list_distinct(string_split(lower(q), ' '))) AS word FROM q),
-    h AS (SELECT qid, q, id, name, rank, count(*) AS words FROM x JOIN w USING (word) GROUP BY ALL),
-    s AS (SELECT *, CASE WHEN lower(name) = lower(q) THEN 1.0::DOUBLE WHEN starts_with(lower(name), lower(q)) THEN 0.9::DOUBLE WHEN contains(lower(name), lower(q)) THEN 0.75::DOUBLE ELSE 0.35::DOUBLE + 0.1::DOUBLE * words END AS score FROM h),
-    t AS (SELECT CAST(qid AS BIGINT) AS qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rank DESC, name, id) AS position FROM s)"""
+_SEARCH = """WITH c AS (SELECT DISTINCT lower(p_name) AS name FROM part), r AS (SELECT lower(p_name) AS name, max(p_size) AS rank FROM part GROUP BY 1),
+    q AS (SELECT p_partkey AS qid, substr(lower(p_name), 1, CAST(3 + p_partkey // 20 % 8 AS INTEGER)) AS q FROM part WHERE p_partkey % 20 = 0),
+    h AS (SELECT qid, q, name, rank, CAST(len(list_intersect(list_distinct(string_split(q, ' ')), list_distinct(string_split(name, ' ')))) AS BIGINT) AS words FROM q, r),
+    s AS (SELECT *, CASE WHEN name = q THEN 1.0::DOUBLE WHEN starts_with(name, q) THEN 0.9::DOUBLE WHEN contains(name, q) THEN 0.75::DOUBLE ELSE 0.35::DOUBLE + 0.1::DOUBLE * words END AS score FROM h
+          WHERE contains(name, q) OR words > 0),
+    t AS (SELECT qid, name, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rank DESC, name) AS position FROM s)"""
 
 
 def _hits(spark, sf_dir):
-    asked = spark.createDataFrame([(1, "red"), (2, "blue widget"), (3, "large"), (4, "zzz")], "qid long, q string")
-    part = table(spark, sf_dir, "part")
-    return M.search(asked, part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").alias("rank")), 10)
+    """Every twentieth part's name, cut to 3 to 10 letters, as queries against all distinct part names."""
+    part, key = table(spark, sf_dir, "part"), F.col("p_partkey")
+    name = F.lower("p_name")
+    asked = part.where(key % 20 == 0).select(key.alias("qid"), F.substring(name, F.lit(1), (3 + F.floor(key / 20) % 8).cast("int")).alias("q"))
+    return M.search(asked, part.groupBy(name.alias("name")).agg(F.max("p_size").alias("rank")), 10)
 
 
 @query(_SEARCH + " SELECT * FROM t WHERE position <= 10")
@@ -77,10 +77,11 @@ def search_resolution(spark, sf_dir):
     return M.resolution(_hits(spark, sf_dir))
 
 
-@query("""WITH k AS (SELECT p_partkey AS id, translate(lower(p_name || ' 10mg Clarm'), '01|!528i', 'olllszbl') AS t FROM part)
-    SELECT id, regexp_replace(replace(replace(replace(replace(t, 'vv', 'w'), 'rn', 'm'), 'cl', 'd'), 'ph', 'f'), '[^a-z]+', '', 'g') AS key FROM k""")
+@query("""WITH k AS (SELECT p_partkey AS id, lower(p_name || ' 1047|!mg Clarm phivv') AS t FROM part), o AS (SELECT id,
+      regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[0o]', 'o', 'g'), '[1l|!]', 'l', 'g'), '[5s]', 's', 'g'), '[2z]', 'z', 'g'), '[8b]', 'b', 'g') AS t FROM k)
+    SELECT id, regexp_replace(replace(replace(replace(replace(t, 'vv', 'w'), 'rn', 'm'), 'cl', 'd'), 'ph', 'f'), '[^a-z0-9]', '', 'g') AS key FROM o""")
 def lookalike_keys(spark, sf_dir):
-    name = F.concat("p_name", F.lit(" 10mg Clarm"))
+    name = F.concat("p_name", F.lit(" 1047|!mg Clarm phivv"))
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), X.lookalike_key(name).alias("key"))
 
 

@@ -23,19 +23,22 @@ def nested_recent_refills(spark, sf_dir):
 
 
 _STOCK = """s AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 9 != 0 THEN p_size - 3 END AS remaining,
-    CASE WHEN p_partkey % 7 = 0 THEN 0.0::DOUBLE ELSE (p_partkey % 5 + 1) / 2.0::DOUBLE END AS daily FROM part)"""
+    CASE WHEN p_partkey % 7 = 0 THEN 0.0::DOUBLE ELSE (p_partkey % 5 + 1) / 2.0::DOUBLE END AS daily,
+    CASE WHEN p_partkey % 4 = 0 THEN 12 END AS threshold FROM part)"""
 
 
-@query(f"""WITH {_STOCK}, d AS (SELECT *, CASE WHEN daily > 0 AND remaining IS NOT NULL THEN CAST(floor(remaining / daily) AS BIGINT) END AS n FROM s)
-    SELECT id, CASE WHEN remaining IS NULL THEN 'UNKNOWN' WHEN remaining <= 0 THEN 'OUT' WHEN daily <= 0 THEN 'NO_USAGE' WHEN n <= 3 THEN 'CRITICAL'
-           WHEN n <= 7 THEN 'LOW' ELSE 'ADEQUATE' END AS status, coalesce(n, -1) AS days,
-           CAST(DATE '2024-01-31' + CAST(greatest(0, coalesce(n, 0) - 5) AS INTEGER) AS DATE) AS suggested FROM d""")
+@query(f"""WITH {_STOCK}, d AS (SELECT *, CASE WHEN daily > 0 AND remaining IS NOT NULL THEN CAST(floor(remaining / daily) AS BIGINT) END AS n FROM s),
+    l AS (SELECT id, n, CASE WHEN remaining IS NULL THEN 'UNKNOWN' WHEN remaining <= 0 THEN 'OUT' WHEN n <= 3 THEN 'CRITICAL'
+           WHEN remaining <= threshold OR n <= 7 THEN 'LOW' WHEN n <= 14 THEN 'ADEQUATE' WHEN n IS NULL AND threshold IS NULL THEN 'UNKNOWN' ELSE 'GOOD' END AS status FROM d)
+    SELECT id, status, coalesce(n, -1) AS days, status IN ('OUT', 'CRITICAL', 'LOW') AS needs_refill,
+           CASE WHEN n IS NOT NULL THEN CAST(DATE '2024-01-31' + CAST(greatest(0, n - 5) AS INTEGER) AS DATE) END AS suggested FROM l""")
 def stock_forecast(spark, sf_dir):
     key = F.col("p_partkey")
     rows = table(spark, sf_dir, "part").select(
         key.alias("id"),
         F.when(key % 9 != 0, F.col("p_size") - 3).alias("remaining"),
         F.when(key % 7 == 0, F.lit(0.0)).otherwise((key % 5 + 1) / 2.0).alias("daily"),
+        F.when(key % 4 == 0, F.lit(12)).alias("threshold"),
     )
     return S.forecast(rows, "2024-01-31")
 

@@ -97,22 +97,24 @@ def idempotent_ingest(spark, sf_dir):
     return V.ingest(rows, "2024-01-20 00:00:00").select("id", "user_id", F.col("key").isNotNull().alias("keyed"))
 
 
-_METRIC = {"view": "HEART_RATE", "click": "OXYGEN_SATURATION", "purchase": "BLOOD_GLUCOSE"}
-_RULES = " ".join(
-    f"WHEN m = '{m}' AND v {rel} {limit} THEN '{sev}|{why}'" for m, rel, limit, sev, why in V.SAFETY
-)
-
-
-@query(f"""WITH {_READINGS}, m AS (SELECT id, q, CASE metric WHEN 'view' THEN 'HEART_RATE' WHEN 'click' THEN 'OXYGEN_SATURATION' WHEN 'purchase' THEN 'BLOOD_GLUCOSE' ELSE 'OTHER' END AS m,
-    CASE metric WHEN 'view' THEN 30 + 2 * k WHEN 'click' THEN 85 + k % 15 ELSE 3 * k END AS v FROM r),
-    t AS (SELECT id, CASE WHEN q THEN 'QUESTIONABLE|check the reading' {_RULES} ELSE 'NORMAL|' END AS told FROM m)
-    SELECT id, split_part(told, '|', 1) AS severity, split_part(told, '|', 2) AS reason FROM t""")
+@query(f"""WITH {_READINGS}, m AS (SELECT id, q, k, CASE metric WHEN 'view' THEN 'HEART_RATE' WHEN 'click' THEN 'OXYGEN_SATURATION' WHEN 'purchase' THEN 'BLOOD_GLUCOSE' WHEN 'signup' THEN 'BLOOD_PRESSURE' ELSE 'SLEEP_HOURS' END AS m,
+    CASE metric WHEN 'view' THEN 30 + 2 * k WHEN 'click' THEN 80 + k % 21 WHEN 'purchase' THEN 40 + 3 * k ELSE 80 + 2 * k END AS v, 50 + k AS v2, id % 2 = 0 AS c FROM r),
+    t AS (SELECT id, CASE WHEN q THEN 'VERIFY_READING|MEDIUM|UNVERIFIED_SOURCE'
+      WHEN m = 'BLOOD_PRESSURE' THEN CASE WHEN v >= 180 OR v2 >= 120 THEN 'URGENT_HELP|CRITICAL|BP_VERY_HIGH' WHEN v >= 140 OR v2 >= 90 THEN 'RECHECK|HIGH|BP_ELEVATED' WHEN v < 90 OR v2 < 60 THEN 'RECHECK|MEDIUM|BP_LOW' ELSE 'NORMAL|INFO|NO_RULE_TRIGGERED' END
+      WHEN m = 'BLOOD_GLUCOSE' THEN CASE WHEN v < 54 THEN 'URGENT_HELP|CRITICAL|GLUCOSE_VERY_LOW' WHEN v < 70 THEN 'RECHECK|HIGH|GLUCOSE_LOW' WHEN v >= 300 THEN 'CONTACT_CLINICIAN|CRITICAL|GLUCOSE_VERY_HIGH' WHEN (c AND v >= 126) OR v >= 200 THEN 'RECHECK|HIGH|GLUCOSE_ELEVATED' ELSE 'NORMAL|INFO|NO_RULE_TRIGGERED' END
+      WHEN m = 'HEART_RATE' THEN CASE WHEN v < 40 OR v > 150 THEN 'URGENT_HELP|CRITICAL|HEART_RATE_EXTREME' WHEN c AND (v < 50 OR v > 100) THEN 'RECHECK|MEDIUM|RESTING_HEART_RATE_OUTSIDE_RANGE' ELSE 'NORMAL|INFO|NO_RULE_TRIGGERED' END
+      WHEN m = 'OXYGEN_SATURATION' THEN CASE WHEN v <= 88 THEN 'URGENT_HELP|CRITICAL|OXYGEN_SATURATION_VERY_LOW' WHEN v <= 92 THEN 'CONTACT_CLINICIAN|HIGH|OXYGEN_SATURATION_LOW' ELSE 'NORMAL|INFO|NO_RULE_TRIGGERED' END
+      ELSE 'NORMAL|INFO|NO_RULE_TRIGGERED' END AS told FROM m)
+    SELECT id, split_part(told, '|', 1) AS status, split_part(told, '|', 2) AS severity, split_part(told, '|', 3) AS reason FROM t""")
 def vital_safety(spark, sf_dir):
     k, m = F.col("k"), F.col("metric")
-    metric = F.when(m == "view", F.lit("HEART_RATE")).when(m == "click", F.lit("OXYGEN_SATURATION")).when(m == "purchase", F.lit("BLOOD_GLUCOSE"))
-    value = F.when(m == "view", 30 + 2 * k).when(m == "click", 85 + k % 15).otherwise(3 * k)
-    told = V.safety(metric.otherwise(F.lit("OTHER")), value, F.col("questionable"))
-    return readings(spark, sf_dir).select("id", told.alias("t")).select("id", "t.severity", "t.reason")
+    names = {"view": "HEART_RATE", "click": "OXYGEN_SATURATION", "purchase": "BLOOD_GLUCOSE", "signup": "BLOOD_PRESSURE"}
+    metric = F.coalesce(F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[m], F.lit("SLEEP_HOURS"))
+    value = F.when(m == "view", 30 + 2 * k).when(m == "click", 80 + k % 21).when(m == "purchase", 40 + 3 * k).otherwise(80 + 2 * k)
+    even = F.col("id") % 2 == 0
+    context = F.when(even & (m == "purchase"), F.lit("FASTING")).when(even & (m == "view"), F.lit("RESTING")).otherwise(F.lit("OTHER"))
+    told = V.safety(metric, value, 50 + k, context, F.col("questionable"))
+    return readings(spark, sf_dir).select("id", told.alias("t")).select("id", "t.*")
 
 
 @query()
