@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROWS_PER_FILE = 200_000
+#: Spark's own setting for removing an execution's shuffle files when it ends; stage retries still work after that.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -46,9 +48,17 @@ class Scratch:
         return df.persist(StorageLevel.DISK_ONLY)
 
     def write(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
-        """Write df and return the written table; of at most so many rows, in files of up to ROWS_PER_FILE."""
+        """Write df and return the written table; of at most so many rows, in files of up to ROWS_PER_FILE.
+
+        A written table needs its shuffles no more, so their files go when the write ends.
+        """
         out = df if rows is None else df.coalesce(1 + rows // ROWS_PER_FILE)
-        out.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            out.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
 
