@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from carelake.functions import compositions as K
 from carelake.functions import text as X
 from carelake.operators import catalogue as C
 from carelake.plans.registry import query
@@ -188,3 +189,22 @@ def source_domains(spark, sf_dir):
     rows = table(spark, sf_dir, "pages").select("page_id", host.alias("host"))
     lists = {"official": ["example.net"], "reference": ["example.org"]}
     return rows.withColumn("source", C.domain_class(F.col("host"), lists))
+
+
+@query("""WITH p AS (SELECT p_partkey AS id, regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g') || '-' || CAST(CASE WHEN p_size % 3 = 0 THEN p_size * 1000 ELSE p_size END AS VARCHAR) || 'mg' AS a FROM part)
+    SELECT id, array_to_string(list_sort([a, 'ascorbic-acid-500mg', 'ambroxol-30mg-per-5ml']), '+') AS key FROM p""")
+def composition_keys(spark, sf_dir):
+    """Keys of compositions made of each part's name and size, a vitamin under another name and a concentration."""
+    size = F.col("p_size").cast("string")
+    dose = F.when(F.col("p_size") % 3 == 0, F.concat(size, F.lit(" g"))).otherwise(F.concat(F.lit("("), size, F.lit(" MG)")))
+    made = F.concat(F.lit("Vit C 0.5 g & "), F.initcap("p_name"), F.lit(" "), dose, F.lit(" with Ambroxol (30mg/5ml)"))
+    return _parts(spark, sf_dir).select(F.col("p_partkey").alias("id"), K.salt_key(made).alias("key"))
+
+
+@query("""SELECT p_partkey AS id, p_name AS brand, CASE WHEN p_size % 2 = 0 THEN 'kit' WHEN p_size % 3 = 0 THEN 'capsule' ELSE 'syrup' END AS form FROM part""")
+def brands_and_forms(spark, sf_dir):
+    size = F.col("p_size")
+    form = F.when(size % 3 == 0, F.lit("Capsules")).otherwise(F.lit("Syrup"))
+    name = F.concat("p_name", F.lit("  "), form)
+    kind = F.when(size % 2 == 0, F.lit(" Kit ")).otherwise(F.lit("Allopathy"))
+    return _parts(spark, sf_dir).select(F.col("p_partkey").alias("id"), K.clean_brand(name).alias("brand"), K.form_of(kind, name, F.lit(None).cast("string")).alias("form"))

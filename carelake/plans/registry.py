@@ -18,12 +18,14 @@ _SQL: dict[str, str] = {}
 def query(sql: str | None = None):
     """Register a function of (spark, sf_dir) under its name, with the SQL that gives the same rows.
 
-    Points in time leave a query as timestamp_ntz in UTC, which every reader shows alike.
+    Queries run with UTC as the session's time zone, on which casts between texts and points in time rest. Points in
+    time leave a query as timestamp_ntz, which every reader shows alike.
     """
 
     def add(f):
         @functools.wraps(f)
         def run(spark, sf_dir):
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
             out = f(spark, sf_dir)
             return out.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in out.dtypes])
 
