@@ -154,3 +154,55 @@ def outbox(rows: DataFrame, results: DataFrame, now: Column, most_tries: int = 5
 def replaced_children(stored: DataFrame, parent: str, new: DataFrame) -> DataFrame:
     """Child rows after all children of the parents in `new` were deleted and the new ones created."""
     return stored.join(new.select(parent).distinct(), parent, "left_anti").unionByName(new)
+
+
+def reminders(doses: DataFrame, sent: DataFrame, now: Column, ahead_minutes: int = 15) -> DataFrame:
+    """(id, kind, key) of reminders to send: pending doses within the time ahead, and snoozed ones whose time is over.
+
+    doses is (id, status, scheduled_at, snooze_until). A dose is told once and each of its snoozes once: keys in `sent`
+    are left out.
+    """
+    ahead = now + F.make_dt_interval(mins=F.lit(ahead_minutes))
+    soon = (F.col("status") == "PENDING") & F.col("scheduled_at").between(now, ahead)
+    woken = (F.col("status") == "SNOOZED") & (F.col("snooze_until") <= now)
+    kind = F.when(soon, F.lit("UPCOMING")).when(woken, F.lit("SNOOZE"))
+    key = F.concat_ws(":", F.col("id").cast("string"), F.when(woken, F.date_format("snooze_until", "yyyyMMddHHmmss")))
+    return doses.select("id", kind.alias("kind"), key.alias("key")).where("kind is not null").join(sent, "key", "left_anti").select("id", "kind", "key")
+
+
+def mixed_names(json: Column) -> Column:
+    """The names in a JSON array of texts and of objects with a name; other entries go."""
+    items = F.from_json(json, "array<string>")
+    names = F.transform(items, lambda x: F.when(x.startswith("{"), F.get_json_object(x, "$.name")).otherwise(x))
+    return F.array_compact(names)
+
+
+def progress(elapsed: Column, eta_minutes: Column) -> tuple[Column, Column]:
+    """The share of a way that is done, 1 at most, and the whole minutes that are left; a way takes 90 seconds at least."""
+    share = F.least(elapsed / F.greatest(F.lit(90), eta_minutes * 60), F.lit(1.0))
+    return share, F.ceil(eta_minutes * (1 - share)).cast("long")
+
+
+#: What each metric's payload holds: its keys, its unit, and the least and most of its value.
+PAYLOADS = {
+    "BLOOD_GLUCOSE": ("glucose", ("glucose", "mealStatus"), 20, 600),
+    "HEART_RATE": ("heartRate", ("heartRate", "context"), 20, 250),
+    "OXYGEN_SATURATION": ("oxygenSaturation", ("oxygenSaturation", "pulse"), 50, 100),
+    "SLEEP_HOURS": ("sleepHours", ("sleepHours",), 0, 24),
+}
+
+
+def payload_error(metric: Column, payload: Column) -> Column:
+    """Why a JSON payload is refused, null for a good one: the row stays, with its reason."""
+    out = F.when(~metric.isin(*PAYLOADS), F.lit("unsupported metric"))
+    for name, (field, keys, least, most) in PAYLOADS.items():
+        extra = F.array_except(F.json_object_keys(payload), F.array(*[F.lit(k) for k in keys]))
+        value = F.get_json_object(payload, f"$.{field}").try_cast("double")
+        mine = metric == name
+        out = (
+            out.when(mine & F.json_object_keys(payload).isNull(), F.lit("no object"))
+            .when(mine & (F.size(extra) > 0), F.concat(F.lit("unexpected: "), F.array_join(F.array_sort(extra), ",")))
+            .when(mine & value.isNull(), F.lit("value missing"))
+            .when(mine & ~value.between(least, most), F.lit("out of range"))
+        )
+    return out

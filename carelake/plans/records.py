@@ -216,3 +216,57 @@ def prescription_parts(spark, sf_dir):
     return _part(spark, sf_dir).select(
         F.col("p_partkey").alias("id"), X.strength(line).alias("strength"), X.frequency(line).alias("frequency"), X.duration_days(line).alias("days")
     )
+
+
+@query(f"""WITH {DOSES}, d AS (SELECT id, status, scheduled_at, scheduled_at + INTERVAL 45 MINUTE AS woken FROM doses),
+    r AS (SELECT id, CASE WHEN status = 'PENDING' AND scheduled_at BETWEEN TIMESTAMP '2024-01-12 08:00:00' AND TIMESTAMP '2024-01-12 20:00:00' THEN 'UPCOMING' WHEN status = 'SNOOZED' AND woken <= TIMESTAMP '2024-01-12 08:00:00' THEN 'SNOOZE' END AS kind, woken FROM d),
+    k AS (SELECT id, kind, CASE WHEN kind = 'SNOOZE' THEN CAST(id AS VARCHAR) || ':' || strftime(woken, '%Y%m%d%H%M%S') ELSE CAST(id AS VARCHAR) END AS key FROM r WHERE kind IS NOT NULL)
+    SELECT * FROM k WHERE key NOT IN (SELECT CAST(c_custkey * 3 AS VARCHAR) FROM customer)""")
+def due_reminders(spark, sf_dir):
+    at = F.col("scheduled_at").cast("timestamp_ntz")
+    rows = doses(spark, sf_dir).select("id", "status", at.alias("scheduled_at"), (at + F.expr("interval 45 minutes")).alias("snooze_until"))
+    sent = table(spark, sf_dir, "customer").select((F.col("c_custkey") * 3).cast("string").alias("key"))
+    return R.reminders(rows, sent, F.expr("timestamp_ntz'2024-01-12 08:00:00'"), 720)
+
+
+@query("""SELECT p_partkey AS id, p_type || ',' || p_brand AS names, '{"id":' || CAST(p_partkey AS VARCHAR) || ',"name":"' || p_name || '"}' AS snapshot FROM part""")
+def mixed_json(spark, sf_dir):
+    """Names from an array of texts and objects, and a row as JSON."""
+    made = F.concat(F.lit('["'), "p_type", F.lit('",{"name":"'), "p_brand", F.lit('"},{"other":1}]'))
+    snapshot = F.to_json(F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")))
+    return _part(spark, sf_dir).select(F.col("p_partkey").alias("id"), F.array_join(R.mixed_names(made), ",").alias("names"), snapshot.alias("snapshot"))
+
+
+@query("""WITH c AS (SELECT user_id, event_type AS kind, count(*) AS n FROM events GROUP BY 1, 2)
+    SELECT user_id, string_agg(kind, ',' ORDER BY n DESC, kind) AS kinds FROM c GROUP BY 1""")
+def sorted_entries(spark, sf_dir):
+    """The entries of each user's counters by count, then by name."""
+    counts = table(spark, sf_dir, "events").groupBy("user_id", "event_type").count()
+    entries = F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("n"), "event_type")))
+    return counts.groupBy("user_id").agg(F.array_join(F.transform(entries, lambda x: x["event_type"]), ",").alias("kinds"))
+
+
+@query("""WITH e AS (SELECT o_orderkey AS id, o_orderkey % 900 AS elapsed, 1 + o_orderkey % 20 AS eta FROM orders), s AS (SELECT *, least(elapsed / greatest(90, eta * 60)::DOUBLE, 1.0::DOUBLE) AS share FROM e)
+    SELECT id, round(share, 9) AS share, CAST(ceil(round(eta * (1 - share), 9)) AS BIGINT) AS minutes FROM s""")
+def arrival_progress(spark, sf_dir):
+    key = F.col("o_orderkey")
+    share, _ = R.progress(key % 900, 1 + key % 20)
+    rows = table(spark, sf_dir, "orders").select(key.alias("id"), share.alias("share"), (1 + key % 20).alias("eta"))
+    return rows.select("id", F.round("share", 9).alias("share"), F.ceil(F.round(F.col("eta") * (1 - F.col("share")), 9)).cast("long").alias("minutes"))
+
+
+@query("""WITH p AS (SELECT event_id AS id, event_type, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events)
+    SELECT id, CASE event_type WHEN 'view' THEN CASE WHEN k * 3 NOT BETWEEN 20 AND 250 THEN 'out of range' END WHEN 'click' THEN 'unexpected: extra,other' WHEN 'purchase' THEN CASE WHEN k % 2 = 0 THEN 'value missing' WHEN k NOT BETWEEN 20 AND 600 THEN 'out of range' END
+      WHEN 'signup' THEN 'no object' ELSE 'unsupported metric' END AS error FROM p""")
+def payload_checks(spark, sf_dir):
+    kind, k = F.col("event_type"), F.get_json_object("props", "$.k").cast("long")
+    names = {"view": "HEART_RATE", "click": "OXYGEN_SATURATION", "purchase": "BLOOD_GLUCOSE", "signup": "SLEEP_HOURS"}
+    metric = F.coalesce(F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[kind], F.lit("STEPS"))
+    payload = (
+        F.when(kind == "view", F.concat(F.lit('{"heartRate":'), (k * 3).cast("string"), F.lit(',"context":"RESTING"}')))
+        .when(kind == "click", F.lit('{"oxygenSaturation":90,"other":1,"extra":2}'))
+        .when((kind == "purchase") & (k % 2 == 0), F.lit('{"mealStatus":"FASTING"}'))
+        .when(kind == "purchase", F.concat(F.lit('{"glucose":'), k.cast("string"), F.lit("}")))
+        .otherwise(F.lit("[1]"))
+    )
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), R.payload_error(metric, payload).alias("error"))
