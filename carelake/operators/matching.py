@@ -20,6 +20,23 @@ def own_blocks(key: Column) -> Column:
     return F.array_distinct(F.array(F.concat(F.lit("="), key), F.concat(F.lit("p:"), F.substring(key, 1, 4)), length))
 
 
+def similar_names(names: DataFrame, least: float = 0.5) -> DataFrame:
+    """Pairs (a, b) of distinct names whose sets of trigrams have a Jaccard similarity of at least `least`.
+
+    Two such sets share one of their n - ceil(least * n) + 1 rarest trigrams, so only those are joined: complete for the
+    threshold, and trigrams that most names have are joined by none.
+    """
+    names = names.select("name").where("name is not null").distinct()
+    each = names.select("name", F.explode(X.grams(F.col("name"), 3)).alias("gram"))
+    count = each.groupBy("gram").agg(F.count("*").alias("n"))
+    ordered = each.join(count, "gram").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("g"))
+    size = F.size("g")
+    prefix = F.slice("g", F.lit(1), size - F.ceil(size * F.lit(least) - 1e-9).cast("int") + 1)
+    rare = ordered.select("name", F.explode(F.transform(prefix, lambda x: x["gram"])).alias("gram"))
+    pairs = rare.withColumnRenamed("name", "a").join(rare.withColumnRenamed("name", "b"), "gram").where("a < b").select("a", "b").distinct()
+    return pairs.where(X.jaccard(X.grams(F.col("a"), 3), X.grams(F.col("b"), 3)) >= least)
+
+
 def fuzzy_keys(left: DataFrame, right: DataFrame, least: float = 0.75) -> DataFrame:
     """Keys of (left_id, left_key) and (right_id, right_key) that match, with the numbers of ids that have them.
 

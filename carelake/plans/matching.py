@@ -13,13 +13,12 @@ _NAMES = "n AS (SELECT DISTINCT lower(p_name) AS name FROM part)"
 _GRAMS = "list_distinct(list_transform(range(1, greatest(length({0}) - 2, 1) + 1), lambda i: substr({0}, i, 3)))"
 
 
-@query(f"""WITH {_NAMES}, p AS (SELECT a.name AS a, b.name AS b, {_GRAMS.format("a.name")} AS ga, {_GRAMS.format("b.name")} AS gb FROM n a JOIN n b ON a.name < b.name AND substr(a.name, 1, 2) = substr(b.name, 1, 2)),
+@query(f"""WITH {_NAMES}, p AS (SELECT a.name AS a, b.name AS b, {_GRAMS.format("a.name")} AS ga, {_GRAMS.format("b.name")} AS gb FROM n a JOIN n b ON a.name < b.name),
     s AS (SELECT a, b, len(list_intersect(ga, gb)) AS shared, len(ga) AS la, len(gb) AS lb, 1.0::DOUBLE - levenshtein(a, b) / greatest(length(a), length(b))::DOUBLE AS edit FROM p)
-    SELECT a, b, round(edit, 9) AS edit, round(2.0::DOUBLE * shared / (la + lb), 9) AS dice, round(shared::DOUBLE / (la + lb - shared), 9) AS jaccard FROM s""")
+    SELECT a, b, round(edit, 9) AS edit, round(2.0::DOUBLE * shared / (la + lb), 9) AS dice, round(shared::DOUBLE / (la + lb - shared), 9) AS jaccard FROM s WHERE shared::DOUBLE / (la + lb - shared) >= 0.3""")
 def name_similarity(spark, sf_dir):
     names = table(spark, sf_dir, "part").select(F.lower("p_name").alias("name")).distinct()
-    names = names.select("name", F.substring("name", 1, 2).alias("block"))
-    pairs = names.withColumnRenamed("name", "a").join(names.withColumnRenamed("name", "b"), "block").where("a < b")
+    pairs = M.similar_names(names, 0.3)
     ga, gb = X.grams(F.col("a"), 3), X.grams(F.col("b"), 3)
     return pairs.select(
         "a",
