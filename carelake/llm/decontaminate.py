@@ -166,7 +166,7 @@ def contaminated(
     short = benchmark.select(n_words.alias("n")).where(F.col("n").between(1, max(len(m) for m in masks) - 1)).distinct()
     lengths = tuple(sorted(r["n"] for r in short.collect()))
     wanted = benchmark.mapInArrow(_seeder("item", masks, None, lengths), "item long, pos long, weight int, hash long")
-    wanted = scratch.keep(wanted)
+    wanted = scratch.write(wanted, "seeds")
     present = spark.sparkContext.broadcast(bitmap(wanted, "hash"))
     asked = docs.select("row", "text").mapInArrow(
         _seeder("row", masks, present, lengths), "row long, pos long, weight int, hash long"
@@ -180,7 +180,7 @@ def contaminated(
         .groupBy("row", "item")
         .agg(F.collect_list("shift").alias("shifts"))
     )
-    hits = scratch.keep(hits)
+    hits = scratch.write(hits, "hits")
     texts = within(docs, "row", bit_filter(hits, "row")).distinct()
     pairs = (
         hits.join(benchmark.select("item", "item_id", F.col("text").alias("item_text")), "item")

@@ -108,8 +108,9 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> Mi
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "mix")
-    sized = scratch.keep(
-        docs.select("doc_id", "source", n_words("text").alias("size")).withColumn("row", F.monotonically_increasing_id())
+    sized = scratch.write(
+        docs.select("doc_id", "source", n_words("text").alias("size")).withColumn("row", F.monotonically_increasing_id()),
+        "sized",
     )
     rows = sized.groupBy("source").agg(F.sum("size").alias("size")).collect()
     rows.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
@@ -128,7 +129,7 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> Mi
     )
     order = W.Window.partitionBy("sid", "bucket").orderBy(F.xxhash64("doc_id"), "doc_id", "size", "row")
     full = full.withColumn("end", F.sum("size").over(order.rowsBetween(W.Window.unboundedPreceding, 0)))
-    full = scratch.keep(full.withColumn("begin", F.col("end") - F.col("size")))
+    full = scratch.write(full.withColumn("begin", F.col("end") - F.col("size")), "full")
     buckets = full.groupBy("sid", "bucket").agg(F.max("end").alias("w"))
     buckets = buckets.withColumn("blocks", F.ceil(F.col("w") / block_words).cast("long"))
     buckets = running_sum(buckets, "sid", "bucket", "blocks", "base")
@@ -180,7 +181,7 @@ def _slots(spark, sizes, targets, blocks, seed: int, scratch: Scratch) -> DataFr
                     out.append((shard, s, drawn[s], drawn[:s].sum()))
             yield pd.DataFrame(out, columns=["shard", "sid", "n", "at"])
 
-    drawn = scratch.keep(spark.range(shards).mapInPandas(draw, "shard long, sid int, n long, at long"))
+    drawn = scratch.write(spark.range(shards).mapInPandas(draw, "shard long, sid int, n long, at long"), "drawn")
     counts = np.zeros(len(quota), np.int64)
     for r in drawn.groupBy("sid").agg(F.sum("n").alias("n")).collect():
         counts[r["sid"]] = r["n"]

@@ -159,7 +159,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE,
     ship(spark)
     scratch = Scratch(spark, "near")
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    signed = scratch.keep(docs.mapInArrow(_signer(shingle, halves), _SIGNED))
+    signed = scratch.write(docs.mapInArrow(_signer(shingle, halves), _SIGNED), "signed")
     classes = (
         signed.where("cls is not null and doc_id is not null")
         .groupBy("cls")
@@ -169,15 +169,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = SHINGLE,
             F.first("halves").alias("halves"),
         )
     )
-    classes = scratch.keep(classes.repartition("rep"))
+    classes = scratch.write(classes, "classes")
     holders = scratch.write(_holders(classes), "holders")
 
     def sets_of(members: DataFrame) -> DataFrame:
         wanted = spark.sparkContext.broadcast(bitmap(members, "id"))
         carriers = classes.select(F.col("rep").alias("id"), F.col("cls").alias("class")).join(members, "id")
         sets = docs.drop("text_hash").mapInArrow(_setter(shingle, wanted), "id long, cls string, shingles array<long>")
-        sets = sets.repartition("id").join(carriers.repartition("id"), "id").where("cls = class").drop("class")
-        return scratch.keep(sets.dropDuplicates(["id", "cls"]))
+        sets = sets.join(carriers, "id").where("cls = class").drop("class")
+        return scratch.write(sets.dropDuplicates(["id", "cls"]), "sets")
 
     least = halves // 3
     edges = links(

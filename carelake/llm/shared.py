@@ -9,7 +9,6 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,19 +33,15 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Intermediate tables of one call.
+    """Intermediate tables of one call, in the shared folder: what executors compute survives their loss.
 
-    keep() holds a table on the executors' disks; what a lost executor held is computed anew. write() puts a table
-    into the shared folder and so cuts lineage, as loops and long chains of steps need.
+    A written table cuts lineage, so loops and long chains of steps stay short plans.
     """
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
         self.root = f"{scratch_root(spark)}/{what}-{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        return df.persist(StorageLevel.DISK_ONLY)
-
     def write(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
         """Write df and return the written table; of at most so many rows, in files of up to ROWS_PER_FILE.
 
@@ -92,14 +87,16 @@ def bitmap(df: DataFrame, column: str) -> np.ndarray:
     found = rows.toArrow()
     out = np.zeros(FILTER_BITS // 8, np.uint8)
     out[found["byte"].to_numpy()] = found["v"].to_numpy()
-    return np.unpackbits(out).view(bool)
+    return out
 
 
 def in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    return bits[values.astype(np.int64) & (FILTER_BITS - 1)]
+    """Whether each value's bit is set; bits stay packed, so a worker holds FILTER_BITS / 8 bytes."""
+    slots = values.astype(np.int64) & (FILTER_BITS - 1)
+    return ((bits[slots >> 3] << (slots & 7).astype(np.uint8)) & 128).astype(bool)
 
 
-NATIVE_BITS = 1 << 25
+NATIVE_BITS = 1 << 24
 
 
 def bit_filter(values: DataFrame, column: str) -> DataFrame:

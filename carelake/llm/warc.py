@@ -254,8 +254,8 @@ def page_captures(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     """
     scratch = Scratch(pages.sparkSession, "warc")
     write_archives(pages, f"{scratch.root}/archives", min_revisit_bytes)
-    records = scratch.keep(read_records(pages.sparkSession, f"{scratch.root}/archives"))
-    captures = scratch.keep(assemble(records))
+    records = scratch.write(read_records(pages.sparkSession, f"{scratch.root}/archives"), "records")
+    captures = scratch.write(assemble(records), "captures")
     originals = captures.where("response.type = 'response'").select(
         F.col("id").alias("original_id"), F.col("metadata.page_id").alias("original")
     )
