@@ -19,14 +19,17 @@ from carelake.llm.warc import page_captures
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prediction for each row of documents; null and letterless texts are `und`, repeated rows each give a row."""
     return identify(table(spark, sf_dir, "documents"))
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each overlap of a document with a benchmark item; null and wordless texts have none, an empty table gives no rows."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations and of the probe -7; null roles and texts are empty, repeated rows are turns."""
     told = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame(
         [(-7, 0, "user", told), (-7, 1, "assistant", told)], "conv_id long, turn long, role string, text string"
@@ -36,14 +39,17 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers of the lines that go from each document; null texts have no lines, and repeated rows each give a row."""
     return duplicate_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "dropped")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The owner of each document's text; null texts are empty, repeated rows are counted each."""
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op6_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives tell of each page; null html is empty, null ids neither revisit nor are revisited."""
     return page_captures(table(spark, sf_dir, "pages")).select(
         "metadata.page_id",
         "response.payload_bytes",
@@ -54,18 +60,22 @@ def op6_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's component; null and wordless texts are linked with nothing, repeated ids share their links."""
     return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document; null texts have size 0, a null source is a source of its own."""
     return mix(table(spark, sf_dir, "documents")).taken
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of each document; null and empty texts are an end alone, an empty table gives no rows."""
     return score(table(spark, sf_dir, "documents"))
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of each document through a new ledger; null and empty texts have none, repeated rows each give a row."""
     return document_secrets(table(spark, sf_dir, "documents"))
 
 

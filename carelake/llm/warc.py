@@ -224,7 +224,11 @@ def _reader(payloads: bool):
 
 
 def read_records(spark, path: str, payloads: bool = False) -> DataFrame:
-    """One row per record of the gzipped archives below path. A response's payload is checked against its digest."""
+    """One row per record of the gzipped archives below path. A response's payload is checked against its digest.
+
+    A response that differs from its digest stops the read with an error that names it; a record without a page_id or
+    of an unknown type gives nulls. A folder without archives gives no rows.
+    """
     ship(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
     return files.mapInArrow(_reader(payloads), _READ)
@@ -234,7 +238,8 @@ def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: (id, uri, response, request, metadata).
 
     response holds type, digest, payload_bytes, refers_to and payload; request and metadata, joined through their
-    concurrent-to ids, are null where there is none. Records of other kinds are left out.
+    concurrent-to ids, are null where there is none. Records of other kinds, and requests and metadata of no known
+    response, are left out. Repeated records of one id give a row for each combination.
     """
     main = records.where("type in ('response', 'revisit')").select(
         "id", "uri", F.struct("type", "digest", "payload_bytes", "refers_to", "payload").alias("response")
