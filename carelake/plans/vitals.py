@@ -117,10 +117,15 @@ def vital_safety(spark, sf_dir):
     return readings(spark, sf_dir).select("id", told.alias("t")).select("id", "t.*")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_READINGS}, o AS (SELECT id, user_id, metric, coalesce(value > 100, false) AS critical, recorded_at AS moment, row_number() OVER (PARTITION BY user_id, metric ORDER BY recorded_at, id) AS n FROM r),
+    f AS (SELECT id, user_id, metric, n, true AS sent, moment AS last FROM o WHERE n = 1 UNION ALL
+          SELECT o.id, o.user_id, o.metric, o.n, o.moment - f.last > CASE WHEN o.critical THEN INTERVAL 5 MINUTE ELSE INTERVAL 30 MINUTE END,
+                 CASE WHEN o.moment - f.last > CASE WHEN o.critical THEN INTERVAL 5 MINUTE ELSE INTERVAL 30 MINUTE END THEN o.moment ELSE f.last END
+          FROM f JOIN o ON o.user_id = f.user_id AND o.metric = f.metric AND o.n = f.n + 1)
+    SELECT id, sent FROM f""")
 def alert_cooldown(spark, sf_dir):
     ship(spark)
-    rows = readings(spark, sf_dir).withColumn("critical", F.col("value") > 100)
+    rows = readings(spark, sf_dir).withColumn("critical", F.coalesce(F.col("value") > 100, F.lit(False)))
     return V.cooldown(rows.select("id", "user_id", "metric", "critical", F.col("recorded_at").alias("at")))
 
 

@@ -121,3 +121,15 @@ def test_stock_levels(spark, remaining, daily, threshold, status, days):
     found = stock.forecast(row, "2024-01-31").first()
     assert (found["status"], found["days"]) == (status, days)
     assert (found["suggested"] is None) == (days == -1)
+
+
+def test_recognition_distances():
+    """Look-alike letters are cheap, pairs that look like one letter are free, and case and signs don't count."""
+    from carelake.functions.similarity import weighted_distance
+
+    assert weighted_distance("Dolo-650", "d0l0 650") == pytest.approx(0.2)
+    assert weighted_distance("corn", "COM") == 0
+    assert weighted_distance("vvarfarin", "warfarin") == 0
+    assert weighted_distance("zinc", "2inc") == pytest.approx(0.15)
+    assert weighted_distance("abc", "") == 3 and weighted_distance("", "xy") == 2
+    assert weighted_distance("gold", "gond") == 1.0
