@@ -11,7 +11,7 @@ from carelake.llm.components import components
 from carelake.llm.shared import Scratch
 
 SMALL = 16
-BROADCAST_ROWS = 400_000
+BROADCAST_ROWS = 150_000
 
 
 #: Turns holders into rows (key, *columns), one for each hash table that a holder is in.
