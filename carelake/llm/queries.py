@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,10 +12,13 @@ from carelake.llm.exact_dedup import exact_duplicates
 from carelake.llm.langid import identify
 from carelake.llm.line_dedup import duplicate_lines
 from carelake.llm.lm_scoring import score
+from carelake.llm.merkle import document_manifest
 from carelake.llm.mixing import mix
 from carelake.llm.near_dedup import near_duplicates
 from carelake.llm.secret_scan import document_secrets
 from carelake.llm.shared import table
+from carelake.llm.token_counts import token_prefixes
+from carelake.llm.vector_codes import compress
 from carelake.llm.warc import page_captures
 
 
@@ -79,6 +83,21 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code of each vector; null and unfinished vectors are dropped, repeated rows each give a row."""
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of each document, and the longest prefix within the limit; null texts are empty, repeated rows each give a row."""
+    return token_prefixes(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), store=False)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaf, proof and folded root of each document; nulls have a form of their own, repeated rows are leaves each."""
+    return document_manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -92,6 +111,9 @@ QUERIES = {
         op8_source_mixing,
         op9_lm_scoring,
         op10_secret_scan,
+        op11_vector_codes,
+        op12_token_counts,
+        op13_merkle_manifest,
     )
 }
 
@@ -103,7 +125,85 @@ _ESCAPED = (
     + "', '\\0' || chr(92) || chr(92), 'g')) - length({0})"
 )
 
+
+
+def _code_sql(rounds: int = 2) -> str:
+    """Full distances between all parts and entries, and one pair of CTEs for each round."""
+    near = """near{0} AS MATERIALIZED (
+            SELECT vec_id, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (
+                SELECT c.vec_id, c.part, b.entry, list_sum(list_transform(list_zip(c.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+                FROM cut c JOIN book{0} b ON b.part = c.part) GROUP BY 1, 2)"""
+    moved = """book{1} AS MATERIALIZED (
+            SELECT b.part, b.entry, CASE WHEN count(m.n) = 0 THEN any_value(b.x) ELSE list((m.s - ((m.s % m.n) + m.n) % m.n) // m.n ORDER BY m.i) END AS x
+            FROM book{0} b LEFT JOIN (
+                SELECT n.part, n.entry, u.i, sum(c.x[u.i])::BIGINT AS s, count(*) AS n
+                FROM near{0} n JOIN cut c ON c.vec_id = n.vec_id AND c.part = n.part, unnest(range(1, len(c.x) + 1)) AS u(i) GROUP BY 1, 2, 3
+            ) m ON m.part = b.part AND m.entry = b.entry GROUP BY 1, 2)"""
+    steps = [near.format(0)] + [text for i in range(rounds) for text in (moved.format(i, i + 1), near.format(i + 1))]
+    return f"""
+        WITH kept AS MATERIALIZED (
+            SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), cut AS MATERIALIZED (
+            SELECT vec_id, p AS part, x[p * (len(x) // 16) + 1:(p + 1) * (len(x) // 16)] AS x FROM kept, unnest(range(16)) AS u(p)
+        ), book0 AS MATERIALIZED (
+            SELECT c.part, s.entry, c.x FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept) s
+            JOIN cut c ON c.vec_id = s.vec_id WHERE s.entry < 64
+        ), {", ".join(steps)}, told AS (
+            SELECT sha256(string_agg(CAST(x[i] AS VARCHAR), ',' ORDER BY part, entry, i)) AS digest FROM book{rounds}, unnest(range(1, len(x) + 1)) AS u(i)
+        ), coded AS (
+            SELECT vec_id, string_agg(lower(printf('%02x', entry)), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM near{rounds} GROUP BY 1
+        )
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, digest AS codebooks_sha256
+        FROM coded JOIN kept USING (vec_id), told
+    """
+
+
+def _field(value: str) -> str:
+    return f"coalesce(octet_length(encode({value})) || ':' || {value}, '-')"
+
+
+_ROW = " || ".join(_field(c) for c in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)"))
+#: The CRC-32 of a text of digits, byte by byte and bit by bit.
+_CRC = """list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::UBIGINT)), lambda a, b:
+    list_reduce(list_concat([xor(a, b)], list_transform(range(8), lambda i: i::UBIGINT)), lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END))"""
+
+_MERKLE = f"""
+        WITH RECURSIVE leaves AS (
+            SELECT *, sha256({_ROW} || {_field("text")}) AS leaf, coalesce('=' || source, '') AS grp,
+                   sha256({_ROW} || {_field(f"CASE WHEN ({_CRC}) % 2 = 1 THEN replace(text, chr(10), '') ELSE text END")}) AS now
+            FROM documents
+        ), placed AS (SELECT doc_id, leaf, now, grp, row_number() OVER (PARTITION BY grp ORDER BY doc_id) - 1 AS pos FROM leaves
+        ), low AS (
+            SELECT 0 AS level, grp, pos, leaf AS digest, count(*) OVER (PARTITION BY grp) AS n FROM placed
+            UNION ALL
+            SELECT any_value(level) + 1, grp, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), any_value(n + 2) // 3 FROM low WHERE n > 1 GROUP BY grp, pos // 3
+        ), high AS (
+            SELECT 0 AS level, grp, row_number() OVER (ORDER BY encode(grp)) - 1 AS pos, digest, count(*) OVER () AS n FROM low WHERE n = 1
+            UNION ALL
+            SELECT any_value(level) + 1, '', pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), any_value(n + 2) // 3 FROM high WHERE n > 1 GROUP BY pos // 3
+        ), steps AS (
+            SELECT p.doc_id, l.level, l.pos, l.digest, CAST(floor(p.pos / pow(3, l.level)) AS BIGINT) AS own
+            FROM placed p JOIN low l ON l.grp = p.grp AND l.n > 1 AND l.pos // 3 = CAST(floor(p.pos / pow(3, l.level + 1)) AS BIGINT)
+            UNION ALL
+            SELECT p.doc_id, 100 + h.level, h.pos, h.digest, CAST(floor(s.pos / pow(3, h.level)) AS BIGINT)
+            FROM placed p JOIN high s ON s.level = 0 AND s.grp = p.grp
+            JOIN high h ON h.n > 1 AND h.pos // 3 = CAST(floor(s.pos / pow(3, h.level + 1)) AS BIGINT)
+        ), sides AS (
+            SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY level) AS i, coalesce(string_agg(digest, '' ORDER BY pos) FILTER (pos < own), '') AS l,
+                   coalesce(string_agg(digest, '' ORDER BY pos) FILTER (pos > own), '') AS r FROM steps GROUP BY doc_id, level
+        ), folded AS (
+            SELECT doc_id, 0 AS i, now AS digest FROM placed
+            UNION ALL SELECT f.doc_id, f.i + 1, sha256(s.l || f.digest || s.r) FROM folded f JOIN sides s ON s.doc_id = f.doc_id AND s.i = f.i + 1
+        ), ends AS (SELECT doc_id, arg_max(digest, i) AS folded_root FROM folded GROUP BY 1
+        ), proofs AS (SELECT doc_id, sha256(string_agg(l || r, '' ORDER BY i)) AS proof_sha256 FROM sides GROUP BY 1)
+        SELECT p.doc_id, p.leaf, s.digest AS subroot, t.digest AS root, coalesce(f.proof_sha256, sha256('')) AS proof_sha256, e.folded_root, e.folded_root = t.digest AS verified
+        FROM placed p JOIN low s ON s.grp = p.grp AND s.n = 1 JOIN high t ON t.n = 1 JOIN ends e ON e.doc_id = p.doc_id LEFT JOIN proofs f ON f.doc_id = p.doc_id
+    """
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_vector_codes": _code_sql(),
+    "op13_merkle_manifest": _MERKLE,
     "op3_chat_formatting": f"""
         WITH rows AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
