@@ -80,6 +80,15 @@ FREQUENCIES = (
     (r"(?i)\b(?:once\s+daily|once\s+(?:a\s+)?day|daily|od)\b", "DAILY"),
     (r"(?i)\b(?:once\s+weekly|weekly)\b", "WEEKLY"),
 )
+#: The same for lines that were matched with a dictionary, in their own order.
+DICTIONARY_FREQUENCIES = (
+    (r"(?i)\b(?:four\s+times\s+(?:a\s+)?day|qid)\b", "FOUR_TIMES_DAILY"),
+    (r"(?i)\b(?:three\s+times\s+(?:a\s+)?day|tds|tid)\b", "THREE_TIMES_DAILY"),
+    (r"(?i)\b(?:twice\s+daily|twice\s+(?:a\s+)?day|bd|bid)\b", "TWICE_DAILY"),
+    (r"(?i)\b(?:once\s+daily|once\s+(?:a\s+)?day|daily|od)\b", "DAILY"),
+    (r"(?i)\b(?:once\s+weekly|weekly)\b", "WEEKLY"),
+    (r"(?i)\b(?:as\s+needed|sos|prn)\b", "AS_NEEDED"),
+)
 
 
 def strength(c: Column) -> Column:
@@ -88,12 +97,9 @@ def strength(c: Column) -> Column:
     return F.when(found != "", F.lower(F.regexp_replace(found, r"\s+", "")))
 
 
-def frequency(c: Column) -> Column:
+def frequency(c: Column, patterns: tuple[tuple[str, str], ...] = FREQUENCIES) -> Column:
     """The first frequency whose pattern a line has, null where it has none."""
-    out = None
-    for pattern, name in FREQUENCIES:
-        out = F.when(c.rlike(pattern), F.lit(name)) if out is None else out.when(c.rlike(pattern), F.lit(name))
-    return out
+    return F.coalesce(*[F.when(c.rlike(pattern), F.lit(name)) for pattern, name in patterns])
 
 
 def duration_days(c: Column) -> Column:
@@ -106,6 +112,19 @@ def quantity(c: Column) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(c, QUANTITY, i), F.lit("")).try_cast("long") for i in (1, 2)])
 
 
+#: What is said about food, in the order in which it is looked for.
+INSTRUCTIONS = (
+    (r"(?i)\bbefore\s+(?:food|meal|breakfast|lunch|dinner)\b", "BEFORE_FOOD"),
+    (r"(?i)\bafter\s+(?:food|meal|breakfast|lunch|dinner)\b", "AFTER_FOOD"),
+    (r"(?i)\bwith\s+food\b", "WITH_FOOD"),
+)
+
+
+def instructions(c: Column) -> Column:
+    """The first instruction that a line has, null where it has none."""
+    return F.coalesce(*[F.when(c.rlike(pattern), F.lit(name)) for pattern, name in INSTRUCTIONS])
+
+
 def gtin_valid(c: Column) -> Column:
     """8, 12, 13 or 14 digits whose weighted sum, by 3 and 1 from the right, is a multiple of ten."""
     digits = F.reverse(F.transform(F.split(F.regexp_replace(c, r"\D", ""), ""), lambda d: d.try_cast("int")))
