@@ -159,12 +159,12 @@ def replaced_children(stored: DataFrame, parent: str, new: DataFrame) -> DataFra
 def reminders(doses: DataFrame, sent: DataFrame, now: Column, ahead_minutes: int = 15) -> DataFrame:
     """(id, kind, key) of reminders to send: pending doses within the time ahead, and snoozed ones whose time is over.
 
-    doses is (id, status, scheduled_at, snooze_until). A dose is told once and each of its snoozes once: keys in `sent`
-    are left out.
+    doses is (id, status, scheduled_at, snooze_until, schedule_active, user_active). A dose is told once and each of its
+    snoozes once: keys in `sent` are left out. Users have to be active, and for a pending dose its schedule too.
     """
     ahead = now + F.make_dt_interval(mins=F.lit(ahead_minutes))
-    soon = (F.col("status") == "PENDING") & F.col("scheduled_at").between(now, ahead)
-    woken = (F.col("status") == "SNOOZED") & (F.col("snooze_until") <= now)
+    soon = (F.col("status") == "PENDING") & F.col("scheduled_at").between(now, ahead) & F.col("schedule_active") & F.col("user_active")
+    woken = (F.col("status") == "SNOOZED") & (F.col("snooze_until") <= now) & F.col("user_active")
     kind = F.when(soon, F.lit("UPCOMING")).when(woken, F.lit("SNOOZE"))
     key = F.concat_ws(":", F.col("id").cast("string"), F.when(woken, F.date_format("snooze_until", "yyyyMMddHHmmss")))
     return doses.select("id", kind.alias("kind"), key.alias("key")).where("kind is not null").join(sent, "key", "left_anti").select("id", "kind", "key")

@@ -218,13 +218,16 @@ def prescription_parts(spark, sf_dir):
     )
 
 
-@query(f"""WITH {DOSES}, d AS (SELECT id, status, scheduled_at, scheduled_at + INTERVAL 45 MINUTE AS woken FROM doses),
-    r AS (SELECT id, CASE WHEN status = 'PENDING' AND scheduled_at BETWEEN TIMESTAMP '2024-01-12 08:00:00' AND TIMESTAMP '2024-01-12 20:00:00' THEN 'UPCOMING' WHEN status = 'SNOOZED' AND woken <= TIMESTAMP '2024-01-12 08:00:00' THEN 'SNOOZE' END AS kind, woken FROM d),
+@query(f"""WITH {DOSES}, d AS (SELECT id, status, scheduled_at, scheduled_at + INTERVAL 45 MINUTE AS woken, medicine_id % 10 != 3 AS planned, user_id % 7 != 3 AS active FROM doses),
+    r AS (SELECT id, CASE WHEN NOT active THEN NULL WHEN status = 'PENDING' AND planned AND scheduled_at BETWEEN TIMESTAMP '2024-01-12 08:00:00' AND TIMESTAMP '2024-01-12 20:00:00' THEN 'UPCOMING' WHEN status = 'SNOOZED' AND woken <= TIMESTAMP '2024-01-12 08:00:00' THEN 'SNOOZE' END AS kind, woken FROM d),
     k AS (SELECT id, kind, CASE WHEN kind = 'SNOOZE' THEN CAST(id AS VARCHAR) || ':' || strftime(woken, '%Y%m%d%H%M%S') ELSE CAST(id AS VARCHAR) END AS key FROM r WHERE kind IS NOT NULL)
     SELECT * FROM k WHERE key NOT IN (SELECT CAST(c_custkey * 3 AS VARCHAR) FROM customer)""")
 def due_reminders(spark, sf_dir):
     at = F.col("scheduled_at").cast("timestamp_ntz")
-    rows = doses(spark, sf_dir).select("id", "status", at.alias("scheduled_at"), (at + F.expr("interval 45 minutes")).alias("snooze_until"))
+    rows = doses(spark, sf_dir).select(
+        "id", "status", at.alias("scheduled_at"), (at + F.expr("interval 45 minutes")).alias("snooze_until"),
+        (F.col("medicine_id") % 10 != 3).alias("schedule_active"), (F.col("user_id") % 7 != 3).alias("user_active"),
+    )
     sent = table(spark, sf_dir, "customer").select((F.col("c_custkey") * 3).cast("string").alias("key"))
     return R.reminders(rows, sent, F.expr("timestamp_ntz'2024-01-12 08:00:00'"), 720)
 
