@@ -54,14 +54,14 @@ def ocr_distance(left: pd.Series, right: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.LongType())
 def fnv_id(text: pd.Series) -> pd.Series:
-    """A positive 31-bit identifier from 32-bit FNV-1a over code units."""
+    """A positive 31-bit identifier from 32-bit FNV-1a over UTF-16 code units."""
 
     def one(x):
         if x is None:
             return None
         h = 0x811C9DC5
-        for c in x:
-            h = ((h ^ ord(c)) * 0x01000193) & 0xFFFFFFFF
+        for unit in memoryview(x.encode("utf-16-le")).cast("H"):
+            h = ((h ^ unit) * 0x01000193) & 0xFFFFFFFF
         signed = h - (1 << 32) if h >= 1 << 31 else h
         return abs(signed) % 2147483647 or 1
 

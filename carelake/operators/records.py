@@ -181,28 +181,3 @@ def progress(elapsed: Column, eta_minutes: Column) -> tuple[Column, Column]:
     """The share of a way that is done, 1 at most, and the whole minutes that are left; a way takes 90 seconds at least."""
     share = F.least(elapsed / F.greatest(F.lit(90), eta_minutes * 60), F.lit(1.0))
     return share, F.ceil(eta_minutes * (1 - share)).cast("long")
-
-
-#: What each metric's payload holds: its keys, its unit, and the least and most of its value.
-PAYLOADS = {
-    "BLOOD_GLUCOSE": ("glucose", ("glucose", "mealStatus"), 20, 600),
-    "HEART_RATE": ("heartRate", ("heartRate", "context"), 20, 250),
-    "OXYGEN_SATURATION": ("oxygenSaturation", ("oxygenSaturation", "pulse"), 50, 100),
-    "SLEEP_HOURS": ("sleepHours", ("sleepHours",), 0, 24),
-}
-
-
-def payload_error(metric: Column, payload: Column) -> Column:
-    """Why a JSON payload is refused, null for a good one: the row stays, with its reason."""
-    out = F.when(~metric.isin(*PAYLOADS), F.lit("unsupported metric"))
-    for name, (field, keys, least, most) in PAYLOADS.items():
-        extra = F.array_except(F.json_object_keys(payload), F.array(*[F.lit(k) for k in keys]))
-        value = F.get_json_object(payload, f"$.{field}").try_cast("double")
-        mine = metric == name
-        out = (
-            out.when(mine & F.json_object_keys(payload).isNull(), F.lit("no object"))
-            .when(mine & (F.size(extra) > 0), F.concat(F.lit("unexpected: "), F.array_join(F.array_sort(extra), ",")))
-            .when(mine & value.isNull(), F.lit("value missing"))
-            .when(mine & ~value.between(least, most), F.lit("out of range"))
-        )
-    return out

@@ -256,20 +256,3 @@ def arrival_progress(spark, sf_dir):
     share, _ = R.progress(key % 900, 1 + key % 20)
     rows = table(spark, sf_dir, "orders").select(key.alias("id"), share.alias("share"), (1 + key % 20).alias("eta"))
     return rows.select("id", F.round("share", 9).alias("share"), F.ceil(F.round(F.col("eta") * (1 - F.col("share")), 9)).cast("long").alias("minutes"))
-
-
-@query("""WITH p AS (SELECT event_id AS id, event_type, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events)
-    SELECT id, CASE event_type WHEN 'view' THEN CASE WHEN k * 3 NOT BETWEEN 20 AND 250 THEN 'out of range' END WHEN 'click' THEN 'unexpected: extra,other' WHEN 'purchase' THEN CASE WHEN k % 2 = 0 THEN 'value missing' WHEN k NOT BETWEEN 20 AND 600 THEN 'out of range' END
-      WHEN 'signup' THEN 'no object' ELSE 'unsupported metric' END AS error FROM p""")
-def payload_checks(spark, sf_dir):
-    kind, k = F.col("event_type"), F.get_json_object("props", "$.k").cast("long")
-    names = {"view": "HEART_RATE", "click": "OXYGEN_SATURATION", "purchase": "BLOOD_GLUCOSE", "signup": "SLEEP_HOURS"}
-    metric = F.coalesce(F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[kind], F.lit("STEPS"))
-    payload = (
-        F.when(kind == "view", F.concat(F.lit('{"heartRate":'), (k * 3).cast("string"), F.lit(',"context":"RESTING"}')))
-        .when(kind == "click", F.lit('{"oxygenSaturation":90,"other":1,"extra":2}'))
-        .when((kind == "purchase") & (k % 2 == 0), F.lit('{"mealStatus":"FASTING"}'))
-        .when(kind == "purchase", F.concat(F.lit('{"glucose":'), k.cast("string"), F.lit("}")))
-        .otherwise(F.lit("[1]"))
-    )
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), R.payload_error(metric, payload).alias("error"))

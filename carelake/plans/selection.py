@@ -139,16 +139,16 @@ def merged_fields(spark, sf_dir):
     return rows.groupBy("key").agg(F.max_by("line", F.struct(F.length("line"), -F.col("id"))).alias("line"), first("strength"), first("pack"))
 
 
-@query("""WITH p AS (SELECT s_suppkey AS id, lower(substr(s_name, 1, 9)) AS name, (s_suppkey * 7 % 500) / 1000.0::DOUBLE AS lat, (s_suppkey * 13 % 700) / 1000.0::DOUBLE AS lon FROM supplier)
-    SELECT name || '-' || CAST(CAST(floor(lat * 100 + 0.5) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(floor(lon * 100 + 0.5) AS BIGINT) AS VARCHAR) AS key, min(id) AS id FROM p GROUP BY 1""")
+@query("""WITH p AS (SELECT s_suppkey AS id, lower(substr(s_name, 1, 9)) AS name, (s_suppkey * 7 % 50) / 4000.0::DOUBLE AS lat, (s_suppkey * 13 % 70) / 4000.0::DOUBLE AS lon FROM supplier)
+    SELECT name || '-' || CAST(CAST(floor(lat * 1000 + 0.5) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(floor(lon * 1000 + 0.5) AS BIGINT) AS VARCHAR) AS key, min(id) AS id FROM p GROUP BY 1""")
 def rounded_places(spark, sf_dir):
     key = F.col("s_suppkey")
 
     def cell(x):
-        return F.floor(x * 100 + 0.5).cast("string")
+        return F.floor(x * 1000 + 0.5).cast("string")
 
     name = F.lower(F.substring("s_name", 1, 9))
-    k = F.concat_ws("-", name, cell((key * 7 % 500) / 1000.0), cell((key * 13 % 700) / 1000.0))
+    k = F.concat_ws("-", name, cell((key * 7 % 50) / 4000.0), cell((key * 13 % 70) / 4000.0))
     return table(spark, sf_dir, "supplier").groupBy(k.alias("key")).agg(F.min("s_suppkey").alias("id"))
 
 
