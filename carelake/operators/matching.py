@@ -88,30 +88,6 @@ def best_match(names: DataFrame, dictionary: DataFrame, least: float = 0.82) ->
     return names.join(best, "name").select("id", F.col("b.entry").alias("entry"), (-F.col("b.s")).alias("similarity"))
 
 
-def search(queries: DataFrame, catalogue: DataFrame, k: int) -> DataFrame:
-    """The k best catalogue names (name, rank) for each query (qid, q): equal ones, then prefixes, then contained ones.
-
-    Both are lower-case and names are distinct. Candidates hold the query's first three letters somewhere (or all of a
-    shorter one), or share a whole word with it, so the join is on runs of letters and on words.
-    """
-    width = 3
-    starts = F.sequence(F.lit(1), F.greatest(F.length("name"), F.lit(1)))
-    runs = F.transform(starts, lambda i: F.substring(F.col("name"), i, F.lit(width)))
-    short = [F.transform(starts, lambda i, n=n: F.substring(F.col("name"), i, F.lit(n))) for n in range(1, width)]
-    words = F.transform(F.split("name", " "), lambda x: F.concat(F.lit("w:"), x))
-    keys = F.array_distinct(F.concat(runs, *short, words))
-    asked = F.array_distinct(F.concat(F.array(F.substring("q", 1, width)), F.transform(F.split("q", " "), lambda x: F.concat(F.lit("w:"), x))))
-    hits = queries.withColumn("key", F.explode(asked)).join(catalogue.withColumn("key", F.explode(keys)), "key")
-    hits = hits.select("qid", "q", "name", "rank").distinct()
-    name, q = F.col("name"), F.col("q")
-    common = F.size(F.array_intersect(F.split(q, " "), F.split(name, " ")))
-    score = F.when(name == q, 1.0).when(name.startswith(q), 0.9).when(name.contains(q), 0.75).otherwise(0.35 + 0.1 * common)
-    order = W.Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("rank"), "name")
-    hits = hits.where(name.contains(q) | (common > 0)).withColumn("score", score)
-    hits = hits.withColumn("position", F.row_number().over(order).cast("long"))
-    return hits.where(F.col("position") <= k).select("qid", "name", "score", "position")
-
-
 def resolution(scores: DataFrame, strong: float = 0.9, possible: float = 0.7) -> DataFrame:
     """STRONG, POSSIBLE or UNKNOWN for each query by its best score."""
     best = scores.groupBy("qid").agg(F.max("score").alias("best"))

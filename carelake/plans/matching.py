@@ -49,33 +49,6 @@ def best_dictionary_match(spark, sf_dir):
     return M.best_match(names, part.select(F.col("p_name").alias("entry")).distinct())
 
 
-_SEARCH = """WITH c AS (SELECT DISTINCT lower(p_name) AS name FROM part), r AS (SELECT lower(p_name) AS name, max(p_size) AS rank FROM part GROUP BY 1),
-    q AS (SELECT p_partkey AS qid, substr(lower(p_name), 1, CAST(3 + p_partkey // 20 % 8 AS INTEGER)) AS q FROM part WHERE p_partkey % 20 = 0),
-    h AS (SELECT qid, q, name, rank, CAST(len(list_intersect(list_distinct(string_split(q, ' ')), list_distinct(string_split(name, ' ')))) AS BIGINT) AS words FROM q, r),
-    s AS (SELECT *, CASE WHEN name = q THEN 1.0::DOUBLE WHEN starts_with(name, q) THEN 0.9::DOUBLE WHEN contains(name, q) THEN 0.75::DOUBLE ELSE 0.35::DOUBLE + 0.1::DOUBLE * words END AS score FROM h
-          WHERE contains(name, q) OR words > 0),
-    t AS (SELECT qid, name, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rank DESC, name) AS position FROM s)"""
-
-
-def _hits(spark, sf_dir):
-    """Every twentieth part's name, cut to 3 to 10 letters, as queries against all distinct part names."""
-    part, key = table(spark, sf_dir, "part"), F.col("p_partkey")
-    name = F.lower("p_name")
-    asked = part.where(key % 20 == 0).select(key.alias("qid"), F.substring(name, F.lit(1), (3 + F.floor(key / 20) % 8).cast("int")).alias("q"))
-    return M.search(asked, part.groupBy(name.alias("name")).agg(F.max("p_size").alias("rank")), 10)
-
-
-@query(_SEARCH + " SELECT * FROM t WHERE position <= 10")
-def catalogue_search(spark, sf_dir):
-    return _hits(spark, sf_dir)
-
-
-@query(_SEARCH + """ SELECT qid, max(score) AS best, CASE WHEN max(score) >= 0.9 THEN 'STRONG' WHEN max(score) >= 0.7 THEN 'POSSIBLE' ELSE 'UNKNOWN' END AS outcome
-    FROM t WHERE position <= 10 GROUP BY qid""")
-def search_resolution(spark, sf_dir):
-    return M.resolution(_hits(spark, sf_dir))
-
-
 @query("""WITH k AS (SELECT p_partkey AS id, lower(p_name || ' 1047|!mg Clarm phivv') AS t FROM part), o AS (SELECT id,
       regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[0o]', 'o', 'g'), '[1l|!]', 'l', 'g'), '[5s]', 's', 'g'), '[2z]', 'z', 'g'), '[8b]', 'b', 'g') AS t FROM k)
     SELECT id, regexp_replace(replace(replace(replace(replace(t, 'vv', 'w'), 'rn', 'm'), 'cl', 'd'), 'ph', 'f'), '[^a-z0-9]', '', 'g') AS key FROM o""")
