@@ -91,7 +91,8 @@ def _parts(c: Column) -> Column:
     return F.when(F.size(listed) > 1, listed).when((F.size(commas) > 1) & told, commas).otherwise(listed)
 
 
-def _ingredient(c: Column) -> Column:
+def ingredient(c: Column) -> Column:
+    """An ingredient's lower-case text without forms and pharmacopoeias, under its usual name."""
     text = F.regexp_replace(F.regexp_replace(c, _NOISE, " "), r"\bh\.?c\.?l\.?\b", " hydrochloride ")
     return _alias(INGREDIENTS, _squeezed(F.regexp_replace(text, "[^a-z0-9 ]+", " ")))
 
@@ -112,7 +113,7 @@ def _parsed(part: Column) -> Column:
     share = F.concat(unit, F.lit("-per-"), F.coalesce(_number(F.nullif(of(_SHARE, 3), F.lit(""))), F.lit("")), _alias(UNITS, of(_SHARE, 4)))
     unit = F.when(has[0], F.concat(F.lit("%"), of(_PERCENT, 2))).when(has[1], share).otherwise(unit)
     unit = F.when(reduce(Column.__or__, has), unit)
-    name = _ingredient(F.when(before == "", rest).otherwise(before))
+    name = ingredient(F.when(before == "", rest).otherwise(before))
     key = F.concat_ws("-", slug(name), F.concat(value, unit))
     return F.struct(key.alias("key"), name.alias("ingredient"), value.alias("strength"), unit.alias("unit"))
 

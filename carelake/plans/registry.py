@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MODULES = ("adherence", "schedules", "vitals", "stock", "safety", "catalogue", "matching", "selection", "evaluation", "records", "extraction", "transitions", "layout", "records_io", "observations", "search", "reports")
+MODULES = ("adherence", "schedules", "vitals", "stock", "safety", "catalogue", "matching", "selection", "evaluation", "records", "extraction", "transitions", "layout", "records_io", "observations", "search", "reports", "identity")
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
