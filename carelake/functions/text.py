@@ -125,6 +125,25 @@ def instructions(c: Column) -> Column:
     return F.coalesce(*[F.when(c.rlike(pattern), F.lit(name)) for pattern, name in INSTRUCTIONS])
 
 
+#: How a pack's batch and its dates are marked, in codes and in print.
+_CODE_BATCH, _CODE_EXPIRY = r"\(10\)\s*([A-Za-z0-9_-]+)", r"\(17\)\s*(\d{6})"
+_BATCH = r"(?i)(?:b(?:atch)?\.?\s*no\.?|lot\.?\s*no\.?|b\.no\.?)\s*[:.-]?\s*([A-Za-z0-9_-]+)"
+_EXPIRY = r"(?i)(?:exp(?:iry)?\.?\s*(?:date)?)\s*[:.-]?\s*(\d{1,2}[/-]\d{2,4}|\d{4}[/-]\d{1,2})"
+_MADE = r"(?i)(?:mfg\.?\s*(?:date)?)\s*[:.-]?\s*(\d{1,2}[/-]\d{2,4}|\d{4}[/-]\d{1,2})"
+
+
+def packaging(c: Column) -> Column:
+    """(batch, expiry, made) of what is printed on a pack: codes first, whose expiry becomes a date, then marked words."""
+    def found(pattern: str) -> Column:
+        return F.nullif(F.regexp_extract(c, pattern, 1), F.lit(""))
+
+    code = found(_CODE_EXPIRY)
+    day = F.concat(F.lit("20"), F.concat_ws("-", *[F.substring(code, i, 2) for i in (1, 3, 5)]))
+    return F.struct(
+        F.coalesce(found(_CODE_BATCH), found(_BATCH)).alias("batch"), F.coalesce(F.when(code.isNotNull(), day), found(_EXPIRY)).alias("expiry"), found(_MADE).alias("made")
+    )
+
+
 def gtin_valid(c: Column) -> Column:
     """8, 12, 13 or 14 digits whose weighted sum, by 3 and 1 from the right, is a multiple of ten."""
     digits = F.reverse(F.transform(F.split(F.regexp_replace(c, r"\D", ""), ""), lambda d: d.try_cast("int")))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from carelake.functions.numbers import at_places, half_up
 from carelake.functions.times import offset_date
+from carelake.operators.folds import folded
 
 
 def daily_trend(readings: DataFrame) -> DataFrame:
@@ -105,24 +107,30 @@ def ingest(readings: DataFrame, now: str, tolerance_minutes: int = 5) -> DataFra
     return once.unionByName(rows.where("key is null"))
 
 
+class _Quiet:
+    """The last alert that was sent of a user's metric."""
+
+    def __init__(self, critical_minutes: int, other_minutes: int):
+        self.last, self.quiet = None, {True: timedelta(minutes=critical_minutes), False: timedelta(minutes=other_minutes)}
+
+    def add(self, id, user_id, metric, critical, at):
+        sent = self.last is None or at - self.last > self.quiet[bool(critical)]
+        self.last = at if sent else self.last
+        return [(id, sent)]
+
+    def done(self):
+        return ()
+
+
 def cooldown(alerts: DataFrame, critical_minutes: int = 5, other_minutes: int = 30) -> DataFrame:
     """Which alerts are sent: none up to and at the end of a quiet time after the last one *sent* for its user and metric.
 
-    alerts holds (id, user_id, metric, critical, at). Each decision rests on the one before, so a group is folded in
-    order; groups are a user's alerts of one metric.
+    alerts holds (id, user_id, metric, critical, at). Each decision rests on the one before, so a user's alerts of one
+    metric are folded in order, of which only the last one's time is held.
     """
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["at", "id"])
-        sent, last = [], None
-        for at, critical in zip(frame["at"], frame["critical"]):
-            quiet = pd.Timedelta(minutes=critical_minutes if critical else other_minutes)
-            ok = last is None or at - last > quiet
-            last = at if ok else last
-            sent.append(ok)
-        return pd.DataFrame({"id": frame["id"], "sent": sent})
-
-    return alerts.groupBy("user_id", "metric").applyInPandas(fold, "id long, sent boolean")
+    rows = alerts.select("id", "user_id", "metric", "critical", "at")
+    start = lambda *_: _Quiet(critical_minutes, other_minutes)
+    return folded(rows, ["user_id", "metric"], [F.col("at"), F.col("id")], start, "id long, sent boolean")
 
 
 def safety(metric: Column, value: Column, second: Column, context: Column, questionable: Column) -> Column:

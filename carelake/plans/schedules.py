@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from carelake.functions import text as X
 from carelake.functions import times as T
 from carelake.operators import schedules as S
 from carelake.plans.registry import query
@@ -131,13 +132,41 @@ def zoned_day_bounds(spark, sf_dir):
     return days.select("day", start.alias("start"), finish.alias("finish"))
 
 
-_EXPIRIES = ["08/28", "12/2026", "1/27", "13/27", "", "02-2030"]
+_PRINTED = """p AS (SELECT o_orderkey AS id, month(o_orderdate) AS m, year(o_orderdate) AS y, o_orderkey % 7 AS kind, o_orderpriority AS word FROM orders),
+    t AS (SELECT id, CASE kind WHEN 0 THEN printf('%02d/%02d', m, y % 100) WHEN 1 THEN printf('%d-%d', m, y) WHEN 2 THEN printf('%d/%02d', m + 12, y % 100) WHEN 3 THEN '' WHEN 4 THEN printf('%02d-%02d', m, y % 100) WHEN 5 THEN word END AS t,
+      CASE kind WHEN 0 THEN '(01)089(10) ML-' || CAST(id AS VARCHAR) || ' (17)' || printf('%02d%02d', y % 100, m) || '28 Mfg Date: ' || printf('%02d/%d', m, y - 2) WHEN 1 THEN 'B.No: X_' || CAST(id AS VARCHAR) || ' Exp. Date: ' || printf('%02d/%d', m, y)
+        WHEN 2 THEN 'Lot No. L' || CAST(id AS VARCHAR) || ' EXPIRY ' || printf('%d-%02d', y, m) WHEN 3 THEN 'batch no ' || CAST(id AS VARCHAR) || ' mfg. ' || printf('%d-%02d', y, m) WHEN 4 THEN word WHEN 5 THEN '(17) 2812 exp:1/27' END AS pack FROM p)"""
 
 
-@query("""SELECT t AS text, coalesce(CASE WHEN regexp_matches(t, '^(0?[1-9]|1[0-2])[/-]([0-9]{4}|[0-9]{2})$') THEN
+def _printed(spark, sf_dir):
+    """Dates and packs as they are printed, some of them wrong, from each order."""
+    m, y, kind, key = F.month("o_orderdate"), F.year("o_orderdate"), F.col("o_orderkey") % 7, F.col("o_orderkey").cast("string")
+    date = (
+        F.when(kind == 0, F.format_string("%02d/%02d", m, y % 100)).when(kind == 1, F.format_string("%d-%d", m, y)).when(kind == 2, F.format_string("%d/%02d", m + 12, y % 100)).when(kind == 3, F.lit(""))
+        .when(kind == 4, F.format_string("%02d-%02d", m, y % 100)).when(kind == 5, F.col("o_orderpriority"))
+    )
+    pack = (
+        F.when(kind == 0, F.concat(F.lit("(01)089(10) ML-"), key, F.format_string(" (17)%02d%02d28 Mfg Date: %02d/%d", y % 100, m, m, y - 2)))
+        .when(kind == 1, F.concat(F.lit("B.No: X_"), key, F.format_string(" Exp. Date: %02d/%d", m, y)))
+        .when(kind == 2, F.concat(F.lit("Lot No. L"), key, F.format_string(" EXPIRY %d-%02d", y, m)))
+        .when(kind == 3, F.concat(F.lit("batch no "), key, F.format_string(" mfg. %d-%02d", y, m))).when(kind == 4, F.col("o_orderpriority")).when(kind == 5, F.lit("(17) 2812 exp:1/27"))
+    )
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), date.alias("t"), pack.alias("pack"))
+
+
+@query(f"""WITH {_PRINTED} SELECT id, coalesce(CASE WHEN regexp_matches(t, '^(0?[1-9]|1[0-2])[/-]([0-9]{{4}}|[0-9]{{2}})$') THEN
     CAST(make_date(CAST(CASE WHEN length(regexp_extract(t, '[0-9]+$')) = 2 THEN '20' ELSE '' END || regexp_extract(t, '[0-9]+$') AS BIGINT),
-    CAST(regexp_extract(t, '^[0-9]+') AS BIGINT), 1) + INTERVAL 1 MONTH AS DATE) END, DATE '1970-01-01') AS boundary
-    FROM (VALUES ('08/28'), ('12/2026'), ('1/27'), ('13/27'), (''), ('02-2030')) AS v(t)""")
+    CAST(regexp_extract(t, '^[0-9]+') AS BIGINT), 1) + INTERVAL 1 MONTH AS DATE) END, DATE '1970-01-01') AS boundary FROM t""")
 def expiry_boundaries(spark, sf_dir):
-    rows = spark.createDataFrame([(x,) for x in _EXPIRIES], "text string")
-    return rows.select("text", F.coalesce(T.expiry_boundary(F.col("text")), F.lit("1970-01-01").cast("date")).alias("boundary"))
+    """The first day on which what is printed has expired; what can't be read is long over."""
+    return _printed(spark, sf_dir).select("id", F.coalesce(T.expiry_boundary(F.col("t")), F.lit("1970-01-01").cast("date")).alias("boundary"))
+
+
+@query(f"""WITH {_PRINTED}, f AS (SELECT id, nullif(regexp_extract(pack, '\\(10\\)\\s*([A-Za-z0-9_-]+)', 1), '') AS a, nullif(regexp_extract(pack, '\\(17\\)\\s*(\\d{{6}})', 1), '') AS d,
+      nullif(regexp_extract(pack, '(?:b(?:atch)?\\.?\\s*no\\.?|lot\\.?\\s*no\\.?|b\\.no\\.?)\\s*[:.-]?\\s*([A-Za-z0-9_-]+)', 1, 'i'), '') AS b,
+      nullif(regexp_extract(pack, '(?:exp(?:iry)?\\.?\\s*(?:date)?)\\s*[:.-]?\\s*(\\d{{1,2}}[/-]\\d{{2,4}}|\\d{{4}}[/-]\\d{{1,2}})', 1, 'i'), '') AS e,
+      nullif(regexp_extract(pack, '(?:mfg\\.?\\s*(?:date)?)\\s*[:.-]?\\s*(\\d{{1,2}}[/-]\\d{{2,4}}|\\d{{4}}[/-]\\d{{1,2}})', 1, 'i'), '') AS m FROM t)
+    SELECT id, coalesce(a, b) AS batch, coalesce('20' || d[1:2] || '-' || d[3:4] || '-' || d[5:6], e) AS expiry, m AS made FROM f""")
+def packaging_data(spark, sf_dir):
+    """Batches and dates out of codes and print."""
+    return _printed(spark, sf_dir).select("id", X.packaging(F.col("pack")).alias("p")).select("id", "p.*")
