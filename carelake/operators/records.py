@@ -14,6 +14,14 @@ def confidence(ocr: Column, entity: Column, validation: Column) -> Column:
     return F.least(F.greatest(half_up(ocr * 0.40 + entity * 0.30 + validation * 0.30), F.lit(0)), F.lit(100)).cast("long")
 
 
+def legacy_confidence(ocr: Column, verified: Column, history: Column, known: Column, agreed: Column) -> Column:
+    """A whole score of 0 to 100 by the older weights; history goes before what the catalogue knows, null counts as 0."""
+    zero = F.lit(0)
+    score = F.coalesce(ocr, zero) * 0.45 + F.coalesce(verified, zero) * 0.30 + F.coalesce(history, known, zero) * 0.15
+    score = score + F.when(F.coalesce(agreed, F.lit(False)), 100).otherwise(0) * 0.10
+    return F.least(F.greatest(half_up(score), zero), F.lit(100)).cast("long")
+
+
 def confidence_status(score: Column) -> Column:
     return (
         F.when(score >= 85, F.lit("VERIFIED")).when(score >= 60, F.lit("VERIFY_REQUIRED")).when(score >= 20, F.lit("NEEDS_REVIEW")).otherwise(F.lit("REJECT"))

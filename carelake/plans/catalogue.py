@@ -149,7 +149,7 @@ def coverage_report(spark, sf_dir):
 
 @query("""WITH c AS (SELECT p_partkey AS id, CAST(p_partkey * 7919 + 10000000 AS VARCHAR) AS code FROM part
       UNION ALL SELECT o_orderkey + 1000000000, CAST(o_orderkey * 104729 + 1000000000000 AS VARCHAR) FROM orders
-      UNION ALL SELECT o_orderkey + 2000000000, '0' || CAST(o_orderkey * 1299709 AS VARCHAR) || 'x' FROM orders WHERE o_orderkey % 50 = 0),
+      UNION ALL SELECT o_orderkey + 2000000000, '0' || CAST(o_orderkey * 1299709 AS VARCHAR) || 'x' FROM orders),
     d AS (SELECT id, code, list_transform(range(1, length(code) + 1), lambda i: try_cast(substr(reverse(code), i, 1) AS BIGINT) * CASE WHEN i % 2 = 0 THEN 3 ELSE 1 END) AS w FROM c)
     SELECT id, code, regexp_matches(code, '^([0-9]{8}|[0-9]{12,14})$') AND coalesce(list_sum(w), 0) % 10 = 0 AS valid FROM d""")
 def gtin_checksums(spark, sf_dir):
@@ -158,7 +158,7 @@ def gtin_checksums(spark, sf_dir):
     key, order = F.col("p_partkey"), F.col("o_orderkey")
     rows = part.select(key.alias("id"), (key * 7919 + 10000000).cast("string").alias("code"))
     rows = rows.union(orders.select(order + 1000000000, (order * 104729 + 1000000000000).cast("string")))
-    odd = orders.where("o_orderkey % 50 = 0").select(order + 2000000000, F.concat(F.lit("0"), (order * 1299709).cast("string"), F.lit("x")))
+    odd = orders.select(order + 2000000000, F.concat(F.lit("0"), (order * 1299709).cast("string"), F.lit("x")))
     return rows.union(odd).select("id", "code", X.gtin_valid(F.col("code")).alias("valid"))
 
 

@@ -22,6 +22,16 @@ def confidence_scores(spark, sf_dir):
     return _part(spark, sf_dir).select(key.alias("id"), score.alias("score")).withColumn("status", R.confidence_status(F.col("score")))
 
 
+@query("""WITH s AS (SELECT p_partkey AS id, CAST(least(greatest(floor(coalesce(CASE WHEN p_size % 5 != 0 THEN p_size * 3 END, 0) * 0.45::DOUBLE + coalesce(CASE WHEN p_size % 3 != 0 THEN p_partkey % 101 END, 0) * 0.30::DOUBLE
+      + coalesce(CASE WHEN p_size % 2 = 0 THEN p_partkey * 7 % 101 END, CASE WHEN p_size % 7 != 0 THEN 100 END, 0) * 0.15::DOUBLE + CASE WHEN p_size % 4 = 1 THEN 100 ELSE 0 END * 0.10::DOUBLE + 0.5), 0), 100) AS BIGINT) AS score FROM part)
+    SELECT id, score, CASE WHEN score >= 85 THEN 'VERIFIED' WHEN score >= 60 THEN 'VERIFY_REQUIRED' WHEN score >= 20 THEN 'NEEDS_REVIEW' ELSE 'REJECT' END AS status FROM s""")
+def legacy_confidence_scores(spark, sf_dir):
+    """Confidence by the older weights, with parts that aren't known."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    score = R.legacy_confidence(F.when(size % 5 != 0, size * 3), F.when(size % 3 != 0, key % 101), F.when(size % 2 == 0, key * 7 % 101), F.when(size % 7 != 0, 100), F.when(size % 4 < 2, size % 4 == 1))
+    return _part(spark, sf_dir).select(key.alias("id"), score.alias("score")).withColumn("status", R.confidence_status(F.col("score")))
+
+
 @query("""WITH v AS (SELECT p_partkey AS id, p_partkey // 4 AS page, 0.6::DOUBLE * (p_size * 2) + 0.25::DOUBLE * length(p_name) + 0.15::DOUBLE * length(p_type) AS utility FROM part)
     SELECT page, arg_max(id, (round(utility, 6), -id)) AS id FROM v GROUP BY 1""")
 def best_variant(spark, sf_dir):
