@@ -91,3 +91,31 @@ def confusion(rows: DataFrame, group: str, wanted: str, told: str) -> DataFrame:
     return out.select(
         group, "tp", "fp", "fn", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1")
     )
+
+
+def recognition(cases: DataFrame, group: str) -> DataFrame:
+    """Quality of recognised names by group, from cases (told, wanted, recovered, latency) of which told and wanted are arrays.
+
+    Names count as sets for hits and misses; told is in order of rank for the first and the first three, which look for
+    the first wanted one. A recovery is false when it tells names of which none is wanted. Cases without told names are
+    empty. Ratios without a base are 0; null arrays are empty ones.
+    """
+    none = F.array().cast("array<string>")
+    rows = cases.withColumns({"told": F.coalesce("told", none), "wanted": F.coalesce("wanted", none)})
+    hits = F.size(F.array_intersect("told", "wanted"))
+    first = F.get("wanted", F.lit(0))
+    top1, top3 = F.get("told", F.lit(0)) == first, F.array_contains(F.slice("told", 1, 3), first)
+    lost = F.col("recovered") & (F.size("told") > 0) & (hits == 0)
+
+    def ratio(x: Column, y: Column) -> Column:
+        return F.when(y > 0, x / y).otherwise(F.lit(0.0))
+
+    sums = rows.groupBy(group).agg(
+        F.count("*").alias("cases"), F.sum(hits).alias("tp"), F.sum(F.size(F.array_except("told", "wanted"))).alias("fp"), F.sum(F.size(F.array_except("wanted", "told"))).alias("fn"),
+        F.count_if(top1).alias("one"), F.count_if(top3).alias("three"), F.count_if("recovered").alias("recoveries"), F.count_if(lost).alias("lost"), F.count_if(F.size("told") == 0).alias("empty"), F.avg("latency").alias("latency"),
+    )
+    tp, fp, fn, n = F.col("tp"), F.col("fp"), F.col("fn"), F.col("cases")
+    return sums.select(
+        group, "cases", "tp", "fp", "fn", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), ratio(F.col("one"), n).alias("top1"),
+        ratio(F.col("three"), n).alias("top3"), ratio(F.col("lost"), F.col("recoveries")).alias("false_recovery"), ratio(F.col("empty"), n).alias("empty"), F.round("latency", 9).alias("latency"),
+    )

@@ -147,3 +147,26 @@ def new_and_reused(spark, sf_dir):
     old, now = F.count_if(F.col("p_size") <= 10).alias("old"), F.count_if(F.col("p_size") > 10).alias("now")
     rows = table(spark, sf_dir, "part").groupBy("p_type").agg(old, now).where("now > 0")
     return rows.agg(F.count("*").alias("salts"), F.count_if(F.col("old") == 0).alias("created"), F.count_if(F.col("old") > 0).alias("reused"))
+
+
+@query("""WITH c AS (SELECT o_orderkey AS id, o_orderpriority AS category, o_orderkey % 7 = 0 AS recovered, o_orderkey % 5000 AS latency FROM orders), l AS (SELECT l_orderkey AS id, l_linenumber AS n, CAST(l_partkey % 6 AS VARCHAR) AS told, CAST(l_suppkey % 6 AS VARCHAR) AS wanted FROM lineitem),
+    f AS (SELECT id, told, min(n) AS n FROM l WHERE told != '5' GROUP BY 1, 2), w AS (SELECT id, wanted, min(n) AS n FROM l WHERE wanted != '5' GROUP BY 1, 2),
+    a AS (SELECT c.*, coalesce((SELECT list(told ORDER BY n, told) FROM f WHERE f.id = c.id), []) AS told, coalesce((SELECT list(wanted ORDER BY n, wanted) FROM w WHERE w.id = c.id), []) AS wanted FROM c),
+    b AS (SELECT *, len(list_intersect(told, wanted)) AS hits FROM a),
+    s AS (SELECT category, count(*) AS cases, CAST(sum(hits) AS BIGINT) AS tp, CAST(sum(len(told) - hits) AS BIGINT) AS fp, CAST(sum(len(wanted) - hits) AS BIGINT) AS fn, count(*) FILTER (told[1] = wanted[1]) AS one, count(*) FILTER (list_contains(told[1:3], wanted[1])) AS three,
+      count(*) FILTER (recovered) AS recoveries, count(*) FILTER (recovered AND len(told) > 0 AND hits = 0) AS lost, count(*) FILTER (len(told) = 0) AS nothing, avg(latency) AS latency FROM b GROUP BY 1)
+    SELECT category, cases, tp, fp, fn, tp / (tp + fp)::DOUBLE AS precision, tp / (tp + fn)::DOUBLE AS recall, 2 * tp / (2 * tp + fp + fn)::DOUBLE AS f1, one / cases::DOUBLE AS top1, three / cases::DOUBLE AS top3,
+      CASE WHEN recoveries > 0 THEN lost / recoveries::DOUBLE ELSE 0 END AS false_recovery, nothing / cases::DOUBLE AS empty, round(latency, 9) AS latency FROM s""")
+def recognition_quality(spark, sf_dir):
+    """Orders as cases of recognition, whose lines tell the names that were read and those that were meant."""
+    lines = table(spark, sf_dir, "lineitem")
+
+    def names(key, column):
+        name = (F.col(key) % 6).cast("string")
+        first = lines.where(name != "5").groupBy("l_orderkey", name.alias("x")).agg(F.min("l_linenumber").alias("n"))
+        held = F.transform(F.array_sort(F.collect_list(F.struct("n", "x"))), lambda s: s["x"])
+        return first.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(held.alias(column))
+
+    orders = table(spark, sf_dir, "orders").join(names("l_partkey", "told"), "o_orderkey", "left").join(names("l_suppkey", "wanted"), "o_orderkey", "left")
+    key = F.col("o_orderkey")
+    return O.recognition(orders.select(F.col("o_orderpriority").alias("category"), "told", "wanted", (key % 7 == 0).alias("recovered"), (key % 5000).alias("latency")), "category")
