@@ -82,8 +82,8 @@ def candidates(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Queries with the rows that begin with or hold them, their first word, or its first letters.
 
     A needle of three letters or more that stands in a row's text shares its first three letters with it, so both meet on
-    runs of three letters (or of two, for queries of two); what meets is tested for the needle itself. Rows that say the
-    same are one here. Queries of a single letter have none.
+    runs of three letters (or of two, for queries of two); what meets is tested for the needle itself. catalogue has
+    TEXTS, a key of them in `said` and the brand's parts in `m`. Queries of a single letter have none.
     """
     p = F.col("p")
     asked = queries.where("q is not null").select("q").distinct().withColumn("p", parts(F.col("q"))).where(F.length(F.trim("q")) >= 2)
@@ -91,8 +91,10 @@ def candidates(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
     asked = asked.withColumn("k", F.explode(F.array_distinct(F.transform(needles, lambda x: F.substring(x, F.lit(1), F.lit(3))))))
     held = F.array(*[f(F.col(c)) for c in ("brand", "composition", "generic", "salt_name", "salt_key") for f in (F.lower, X.name_key)])
     runs = F.array_distinct(F.flatten(F.transform(held, lambda t: F.concat(_keys(t, 3), _keys(t, 2)))))
-    both = asked.join(catalogue.withColumn("k", F.explode(runs)), "k").drop("k").dropDuplicates(["q", *TEXTS])
-    brand, normal = F.lower("brand"), X.name_key(F.col("brand"))
+    # Only keys meet, and what meets on several of them is one pair; the rows' texts join it afterwards.
+    met = asked.select("q", "k").join(catalogue.select("said", F.explode(runs).alias("k")), "k").select("q", "said").distinct()
+    both = met.join(asked.select("q", "p").dropDuplicates(["q"]), "q").join(catalogue, "said")
+    brand, normal = F.col("m.low"), F.col("m.key")
     texts = [F.lower(F.col(c)) for c in ("composition", "generic", "salt_name")]
     stem = p["stem"]
     begins = F.startswith(normal, p["key"]) | F.startswith(brand, p["low"]) | ((stem != "") & (F.startswith(normal, stem) | F.startswith(brand, stem)))
@@ -116,10 +118,10 @@ def scores(queries: DataFrame, catalogue: DataFrame, aliases: DataFrame | None =
     rows = catalogue.select(*FIELDS)
     said = [F.col(c) for c in TEXTS]
     distinct = rows.select(F.xxhash64(F.to_json(F.struct(*said))).alias("said"), *said).dropDuplicates(["said"])
-    pairs = candidates(queries, distinct)
-    p, m = F.col("p"), parts(F.col("brand"))
+    pairs = candidates(queries, distinct.withColumn("m", parts(F.col("brand"))))
+    p = F.col("p")
     row = {c: F.col(c) for c in TEXTS}
-    pairs = pairs.withColumn("m", m).withColumn("tier", composition_tier(p["key"], F.col("q"), row))
+    pairs = pairs.withColumn("tier", composition_tier(p["key"], F.col("q"), row))
     molecule = F.max(F.col("salted") & (F.length(p["key"]) >= 6) & F.coalesce(F.col("tier").isin("exact", "strong"), F.lit(False))).over(W.Window.partitionBy("q"))
     pairs = pairs.withColumn("molecule", molecule)
     # Look-alike distances take Python, so each pair of texts is compared once.
@@ -129,7 +131,7 @@ def scores(queries: DataFrame, catalogue: DataFrame, aliases: DataFrame | None =
     whole, first = looks.select(F.col("a").alias("wa"), F.col("b").alias("wb"), F.col("seen").alias("whole")), looks.select(F.col("a").alias("sa"), F.col("b").alias("sb"), F.col("seen").alias("first"))
     pairs = pairs.join(whole, (F.col("p.low") == F.col("wa")) & (F.col("m.low") == F.col("wb"))).join(first, (F.col("p.stem") == F.col("sa")) & (F.col("m.stem") == F.col("sb")))
 
-    brand, normal, low, key, stem = F.lower("brand"), F.col("m.key"), p["low"], p["key"], p["stem"]
+    brand, normal, low, key, stem = F.col("m.low"), F.col("m.key"), p["low"], p["key"], p["stem"]
     own = F.col("m.stem")
     exact = (normal == key) | (brand == low)
     stem_exact = (stem != "") & (own != "") & (stem == own)
@@ -155,7 +157,7 @@ def scores(queries: DataFrame, catalogue: DataFrame, aliases: DataFrame | None =
     for tier, (pure, other) in COMPOSITION.items():
         told = F.when(F.col("tier") == tier, F.when(F.col("molecule"), pure).otherwise(other)).otherwise(told)
     score = F.when(F.col("molecule") & F.col("tier").isNull(), F.greatest(told, beside)).when(F.col("molecule"), F.greatest(told, named)).otherwise(F.greatest(told, named))
-    pairs = pairs.select("q", F.xxhash64(F.to_json(F.struct(*said))).alias("said"), score.alias("score"), "tier", "discontinued", "molecule")
+    pairs = pairs.select("q", "said", score.alias("score"), "tier", "discontinued", "molecule")
     ids = rows.select("id", "rank", "brand", F.xxhash64(F.to_json(F.struct(*said))).alias("said"))
     found = pairs.join(ids, "said")
     if aliases is None:
