@@ -341,15 +341,20 @@ BRAND_SURE, BRAND_LENGTH, PACKAGE_LENGTH, OTHER_LENGTH, PACKAGE_SURE, SIGN_SHARE
 def quality(lines: DataFrame) -> DataFrame:
     """(page, accepted, score, reason, reasons, text_length, sign_share, cue) of lines (page, kind, line, text, confidence).
 
-    The mean confidence weighs a line by its letters and digits. Reasons stand in the order in which they are tested,
-    and the first is the reason. Sums decide, so a page's lines need not meet in one place, but for the cue: it may run
-    over a line's end between a number and its unit, so each line is also read with the next one that isn't blank.
+    The mean confidence weighs a line by its letters and digits, and is added up from the last line to the first,
+    so a mean at a limit falls on the same side however rows are dealt. Reasons stand in the order in which they are tested, and the
+    first is the reason. A cue may run over a line's end between a number and its unit, so each line is also read with
+    the next one that isn't blank.
     """
     text, sure = F.coalesce("text", F.lit("")), F.coalesce("confidence", F.lit(0.0))
     filled = text.rlike(r"\S")
     behind = W.Window.partitionBy("page").orderBy("line").rowsBetween(1, W.Window.unboundedFollowing)
     after = F.first(F.when(filled, text), True).over(behind)
-    rows = lines.select("page", "kind", "line", text.alias("text"), sure.alias("sure"), F.coalesce(after, F.lit("")).alias("after"), filled.alias("filled"))
+    weight = F.greatest(F.lit(1), signs(text))
+    back = W.Window.partitionBy("page").orderBy(F.desc("line")).rowsBetween(W.Window.unboundedPreceding, W.Window.currentRow)
+    rows = lines.select(
+        "page", "kind", "line", text.alias("text"), sure.alias("sure"), F.coalesce(after, F.lit("")).alias("after"), filled.alias("filled"), F.sum(sure * weight).over(back).alias("so_far"), weight.alias("weight")
+    )
     # A page's text is stripped; only white space at its ends is lost, and it counts for the length alone.
     first, last = F.min(F.when(F.col("filled"), F.col("line"))), F.max(F.when(F.col("filled"), F.col("line")))
     ends = rows.groupBy("page").agg(first.alias("first"), last.alias("last"))
@@ -358,13 +363,12 @@ def quality(lines: DataFrame) -> DataFrame:
     left = F.when(at_first, F.regexp_replace("text", r"^\s+", "")).otherwise(F.col("text"))
     inner = F.when(at_last, F.regexp_replace(left, r"\s+$", "")).otherwise(left)
     within = F.col("line").between(F.col("first"), F.col("last"))
-    weight = F.greatest(F.lit(1), signs(F.col("text")))
     brand = F.col("text").rlike(r"\b[A-Za-z][A-Za-z0-9-]{3,}\b") & (F.col("sure") >= BRAND_SURE)
     cue = F.col("text").rlike(CUE) | F.concat_ws("\n", "text", "after").rlike(CUE)
     sums = rows.groupBy("page", "kind").agg(
         (F.sum(F.when(within, F.length(inner) + 1).otherwise(0)) - 1).alias("length"),
         F.sum(signs(F.col("text"))).alias("signs"),
-        (F.sum(F.col("sure") * weight) / F.sum(weight)).alias("average"),
+        (F.min_by("so_far", "line") / F.sum("weight")).alias("average"),
         F.bool_or(brand).alias("brand"),
         F.bool_or(cue).alias("cue"),
         F.count("*").alias("n"),
