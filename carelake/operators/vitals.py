@@ -16,13 +16,17 @@ from carelake.operators.folds import folded
 def daily_trend(readings: DataFrame) -> DataFrame:
     """Per user, metric and local day: count, questionable count, mean to one place, least and most.
 
-    readings holds (user_id, metric, value, recorded_at, offset_minutes, questionable); null values are skipped.
+    readings holds (user_id, metric, value, recorded_at, offset_minutes, questionable); null values are skipped. Values
+    are added up in the order of time, so a mean half-way between two places is rounded alike however rows are dealt.
     """
     rows = readings.where("value is not null").withColumn("day", offset_date(F.col("recorded_at"), F.col("offset_minutes")))
+    order = W.Window.partitionBy("user_id", "metric", "day").orderBy("recorded_at", "value")
+    so_far = order.rowsBetween(W.Window.unboundedPreceding, W.Window.currentRow)
+    rows = rows.withColumns({"_place": F.row_number().over(order), "_sum": F.sum(F.col("value").cast("double")).over(so_far)})
     out = rows.groupBy("user_id", "metric", "day").agg(
         F.count("*").alias("n"),
         F.count_if("questionable").alias("questionable"),
-        F.avg("value").alias("mean"),
+        (F.max_by("_sum", "_place") / F.count("*")).alias("mean"),
         F.min("value").alias("least"),
         F.max("value").alias("most"),
     )
