@@ -107,8 +107,13 @@ def nearest(points: DataFrame, places: DataFrame, radius_km: float, k: int) -> D
 
     Both sides are dealt to grid cells of latitude bands a radius high; a band's cells are as wide as the radius is at
     its edge nearest to a pole, so each point looks into three cells of three bands. Longitudes wrap around, and bands
-    at the poles are one cell.
+    at the poles are one cell. Points of one position meet places once, and of a position's places only the k first can
+    be among the k nearest of a point, so however many stand in one position, no more meet.
     """
+    every = points.select("point_id", "lat", "lon")
+    points = every.select("lat", "lon").distinct()
+    there = W.Window.partitionBy("plat", "plon").orderBy("place_id")
+    places = places.withColumn("rn", F.row_number().over(there)).where(F.col("rn") <= k)
     high = F.lit(max(radius_km / 111.0, 0.01))
 
     def cells(band: Column) -> Column:
@@ -120,19 +125,18 @@ def nearest(points: DataFrame, places: DataFrame, radius_km: float, k: int) -> D
         return F.pmod(F.floor((lon + 180.0) / 360.0 * n).cast("long"), n)
 
     band = F.floor(F.col("lat") / high).cast("long")
-    left = points.select("point_id", "lat", "lon", F.explode(F.array(band - 1, band, band + 1)).alias("x"))
+    left = points.select("lat", "lon", F.explode(F.array(band - 1, band, band + 1)).alias("x"))
     n = cells(F.col("x"))
     mine = cell(F.col("lon"), n)
     around = F.array_distinct(F.array(*[F.pmod(mine + d, n) for d in (-1, 0, 1)]))
-    left = left.select("point_id", "lat", "lon", "x", F.explode(around).alias("y"))
+    left = left.select("lat", "lon", "x", F.explode(around).alias("y"))
     there = F.floor(F.col("plat") / high).cast("long")
     right = places.select("place_id", "plat", "plon", there.alias("x"), cell(F.col("plon"), cells(there)).alias("y"))
     km = haversine_km(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
     both = left.join(right, ["x", "y"]).withColumn("km", km).where(F.col("km") <= radius_km)
-    order = W.Window.partitionBy("point_id").orderBy("km", "place_id")
-    return both.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select(
-        "point_id", "place_id", "km", "rank"
-    )
+    order = W.Window.partitionBy("lat", "lon").orderBy("km", "place_id")
+    near = both.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+    return every.join(near.select("lat", "lon", "place_id", "km", "rank"), ["lat", "lon"]).select("point_id", "place_id", "km", "rank")
 
 
 def in_window(opened: DataFrame, doses: DataFrame, hours: int = 3) -> DataFrame:

@@ -133,3 +133,19 @@ def test_recognition_distances():
     assert weighted_distance("zinc", "2inc") == pytest.approx(0.15)
     assert weighted_distance("abc", "") == 3 and weighted_distance("", "xy") == 2
     assert weighted_distance("gold", "gond") == 1.0
+
+
+def test_points_and_places_of_one_position_meet_once(spark, monkeypatch):
+    met, far = spark.sparkContext.accumulator(0), matching.haversine_km
+
+    @F.udf("double")
+    def counted(km):
+        met.add(1)
+        return km
+
+    monkeypatch.setattr(matching, "haversine_km", lambda *a: counted(far(*a)))
+    points = spark.createDataFrame([(i, 10.0, 20.0) for i in range(200)], "point_id long, lat double, lon double").repartition(2)
+    places = spark.createDataFrame([(i, 10.0, 20.2 if i % 3 else 20.1) for i in range(300)], "place_id long, plat double, plon double").repartition(2)
+    found = matching.nearest(points, places, 100.0, 4).select("point_id", "rank", "place_id").collect()
+    assert sorted(map(tuple, found)) == [(i, n + 1, n * 3) for i in range(200) for n in range(4)]
+    assert 0 < met.value <= 3 * 8  # 60,000 pairs of rows; Spark may tell a distance anew where it is used
