@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from carelake.functions import text as X
+from carelake.lineage import cut
 from carelake.operators.folds import folded
 
 #: The least and the relative height, and the width, within which a box hides others.
@@ -168,6 +169,12 @@ def _in_strips(wide: DataFrame, own: DataFrame) -> tuple[DataFrame, DataFrame]:
     return left, own.withColumn("strip", _strips(F.col("y1"), F.col("y2")))
 
 
+def _met(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join of boxes by shuffles. Spark would guess from the tables' files, which are small beside the boxes drawn from
+    their rows, and send whole pages of boxes through the driver."""
+    return left.join(right.hint("merge"), F.expr(on), how)
+
+
 def nearest_anchor(boxes: DataFrame, anchors: DataFrame) -> DataFrame:
     """(page, seq, anchor) of each box that stands in a line with an anchor: the nearest centre, the first of equal ones.
 
@@ -191,7 +198,7 @@ def nearest_anchor(boxes: DataFrame, anchors: DataFrame) -> DataFrame:
     near = told.where(F.col("best.far") <= NEAR).select("page", "seq", "best.anchor")
     rest = told.where(F.col("best.far") > NEAR).select("page", "seq", "y1", "y2", "mid")
     wide, own = _in_strips(anchors.select("page", "seq", "y1", "y2", "mid"), rest)
-    pairs = own.alias("c").join(wide.alias("a"), F.expr("c.page <=> a.page and c.strip = a.strip")).where(_beside("a", "c"))
+    pairs = _met(own.alias("c"), wide.alias("a"), "c.page <=> a.page and c.strip = a.strip").where(_beside("a", "c"))
     nearest = F.min(F.struct(F.abs(F.expr("a.mid - c.mid")).alias("far"), F.col("a.seq").alias("anchor"))).alias("best")
     return near.unionByName(pairs.groupBy("c.page", "c.seq").agg(nearest).select("page", "seq", "best.anchor"))
 
@@ -241,33 +248,35 @@ def medicine_rows(boxes: DataFrame) -> DataFrame:
     stands too far to the left of it; all other text is left out. Parts are put together from left to right. seq orders
     a page's boxes and is unique in it; boxes without text are left out, those without a place take no part.
     """
-    given = evidence(boxes)
-    marked = given.withColumns({"lone": lone_form(F.col("line")), "anchored": form_anchor(F.col("line"))})
+    # Written once: many joins read it, and it takes Python and long patterns to make.
+    line = F.col("line")
+    marked = cut(evidence(boxes).withColumns({"lone": lone_form(line), "anchored": form_anchor(line)}))
     letters = F.length(F.regexp_replace("line", r"[^\p{L}]", ""))
     forms = marked.where("placed and lone is not null")
     named = marked.where("placed and lone is null and anchored is null").where((letters >= 4) & ~F.col("line").rlike(ADMINISTRATIVE))
     wide, own = _in_strips(forms, named)
-    pairs = wide.alias("f").join(own.alias("m"), F.expr("f.page <=> m.page and f.strip = m.strip")).where(_beside("f", "m"))
+    pairs = _met(wide.alias("f"), own.alias("m"), "f.page <=> m.page and f.strip = m.strip").where(_beside("f", "m"))
     pairs = pairs.where("m.x1 >= f.x1 - (f.x2 - f.x1) * 0.1")
     score = F.abs(F.expr("m.mid - f.mid")) + F.greatest(F.lit(0.0), F.expr("m.x1 - f.x2")) * 0.15
     pairs = pairs.select("f.page", F.col("f.seq").alias("form"), F.col("m.seq").alias("medicine"), score.alias("score")).distinct()
     page = dict(boxes.dtypes)["page"]
-    joined = folded(pairs, ["page"], [F.col("form"), F.col("score"), F.col("medicine")], _Joined, f"page {page}, form long, medicine long")
+    joined = cut(folded(pairs, ["page"], [F.col("form"), F.col("score"), F.col("medicine")], _Joined, f"page {page}, form long, medicine long"))
     gone = joined.select("page", F.explode(F.array("form", "medicine")).alias("seq"))
-    rest = given.alias("g").join(gone.alias("x"), F.expr("g.page <=> x.page and g.seq = x.seq"), "left_anti").withColumn("joined", F.lit(False))
-    a, b = marked.alias("a"), given.alias("b")
-    made = joined.alias("j").join(a, F.expr("j.page <=> a.page and j.form = a.seq")).join(b, F.expr("j.page <=> b.page and j.medicine = b.seq"))
+    rest = _met(marked.alias("g"), gone.alias("x"), "g.page <=> x.page and g.seq = x.seq", "left_anti").drop("lone").withColumn("joined", F.lit(False))
+    a, b = marked.alias("a"), marked.alias("b")
+    made = _met(_met(joined.alias("j"), a, "j.page <=> a.page and j.form = a.seq"), b, "j.page <=> b.page and j.medicine = b.seq")
     made = made.select(
         "a.page", "a.seq", "a.box_id", _percent((_certainty(F.col("a.confidence")) + _certainty(F.col("b.confidence"))) / 2).cast("double").alias("confidence"),
         F.concat_ws(" ", "a.lone", "b.line").alias("line"), F.least("a.x1", "b.x1").alias("x1"), F.least("a.y1", "b.y1").alias("y1"), F.greatest("a.x2", "b.x2").alias("x2"),
         F.greatest("a.y2", "b.y2").alias("y2"), F.lit(True).alias("placed"), F.lit(None).cast("double").alias("mid"), F.array("a.box_id", "b.box_id").alias("sources"), F.lit(True).alias("joined"),
-    ).withColumn("mid", (F.col("y1") + F.col("y2")) / 2)
+    ).withColumns({"mid": (F.col("y1") + F.col("y2")) / 2, "anchored": form_anchor(line)})
     # Joined rows come behind all others of their page.
     rows = rest.unionByName(made).withColumn("seq", F.when(F.col("joined"), F.col("seq") + (1 << 40)).otherwise(F.col("seq")))
-    rows = rows.withColumn("anchored", form_anchor(F.col("line"))).where("placed")
-    anchors, others = rows.where("anchored is not null"), rows.where("anchored is null").where(F.col("line").rlike(CONTINUATION))
+    rows = cut(rows.where("placed").where(F.col("anchored").isNotNull() | line.rlike(CONTINUATION)))
+    anchors, others = rows.where("anchored is not null"), rows.where("anchored is null")
     found = nearest_anchor(others, anchors).alias("n")
-    parts = found.join(others.alias("c"), F.expr("n.page <=> c.page and n.seq = c.seq")).join(anchors.alias("a"), F.expr("n.page <=> a.page and n.anchor = a.seq"))
+    parts = _met(found, others.alias("c"), "n.page <=> c.page and n.seq = c.seq")
+    parts = _met(parts, anchors.alias("a"), "n.page <=> a.page and n.anchor = a.seq")
     parts = parts.where("c.x1 >= a.x1 - (a.x2 - a.x1) * 0.12").select(*[f"c.{c}" for c in others.columns], F.col("n.anchor").alias("anchor"))
     parts = parts.unionByName(anchors.withColumn("anchor", F.col("seq")))
     place = F.when(F.col("seq") == F.col("anchor"), F.lit(-1)).otherwise(F.col("seq"))

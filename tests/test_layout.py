@@ -177,6 +177,12 @@ def test_rows_of_all_pages_are_those_of_the_rules(spark, sf_dir):
     assert {"Tablet", "Capsule", "Syrup"} <= {r["form"] for r in found} and any(len(r["sources"]) > 4 for r in found)
 
 
+def test_no_boxes_go_through_the_driver(spark, sf_dir):
+    """Tables of parts are small files, but their boxes aren't small: none may be broadcast."""
+    found = P.medicine_rows(spark, sf_dir)
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_orientation_and_half_turns(spark):
     def line(text, x, y, w, h):
         return text, [[x, y], [x + w, y], [x + w, y + h], [x, y + h]]
