@@ -170,6 +170,15 @@ def scores(queries: DataFrame, catalogue: DataFrame, aliases: DataFrame | None =
     return found.select("q", "id", F.round(F.greatest(F.lit(0.0), score - lost), 9).alias("score"), "tier", "molecule", "rank", "brand")
 
 
+def leaders(catalogue: DataFrame) -> DataFrame:
+    """Of catalogue rows with equal TEXTS the one that best() takes of them: by rank, then id.
+
+    Equal texts score alike, so where each identity is told once and no aliases are learned, the others need no score.
+    """
+    first = F.min(F.struct(F.col("rank").isNull().alias("without"), (-F.col("rank")).alias("down"), "id", "rank")).alias("f")
+    return catalogue.groupBy(*TEXTS).agg(first).select("f.id", *TEXTS, "f.rank")
+
+
 def best(scored: DataFrame, identity: Column, k: int) -> DataFrame:
     """The k best rows of each query, one for each identity, by score, rank and brand, then id."""
     order = [F.desc("score"), F.desc("rank"), F.asc("brand"), F.asc("id")]

@@ -110,7 +110,7 @@ def search_scores(spark, sf_dir):
 
 def _hits(spark, sf_dir):
     queries = asked(spark, sf_dir)
-    found = S.best(S.scores(queries.select("q"), catalogue(spark, sf_dir)), F.col("brand"), 8)
+    found = S.best(S.scores(queries.select("q"), S.leaders(catalogue(spark, sf_dir))), F.col("brand"), 8)
     return queries.join(found, "q").select("qid", "id", "brand", "score", "place")
 
 

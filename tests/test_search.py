@@ -55,6 +55,21 @@ def test_learned_readings_score_one_and_k_best_of_each_identity(spark):
     assert {r["id"]: r["score"] for r in found.collect()} == {1: 1.0, 2: 1.0, 7: 1.0}
 
 
+def test_copies_of_rows_are_scored_once_with_the_same_best(spark):
+    rows = spark.createDataFrame(CATALOGUE, ROW)
+    copies = spark.range(1, 30).select((F.col("id") * 100).alias("more"))
+    many = rows.crossJoin(copies).withColumns({"id": F.col("id") + F.col("more"), "rank": F.when(F.col("more") < 300, F.col("rank"))}).select(rows.columns)
+    queries = spark.createDataFrame([("crocin",), ("paracetamol",), ("calpol",)], "q string")
+    scored = S.scores(queries, S.leaders(many))
+    assert scored.count() == S.scores(queries, rows).count() > 0
+
+    def best(x):
+        return [tuple(r) for r in S.best(x, F.col("brand"), 2).select("q", "id", "score", "place", "rank").orderBy("q", "place").collect()]
+
+    assert best(scored) == best(S.scores(queries, many))
+    assert [tuple(r) for r in S.leaders(many).where("brand is null or id = 103").select("id", "rank").orderBy("id").collect()] == [(103, 80), (106, None)]
+
+
 def test_compositions_and_completeness(spark):
     row = {"composition": F.lit("Amoxycillin 500mg + Clavulanic Acid 125mg"), "generic": F.lit(None).cast("string"), "salt_name": F.lit(None).cast("string"), "salt_key": F.lit("x"), "verified": F.lit(True), "discontinued": F.lit(False)}
     lists = [["Amoxycillin", "acid clavulanic"], ["Amoxycillin", "Ibuprofen"], ["Ibuprofen"], []]
