@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -57,14 +58,20 @@ _PERCENT = _NUMBER + r"\s*%\s*(ww|wv)"
 _SHARE = rf"{_NUMBER}\s*({_UNIT})\s*per\s*(\d+(?:\.\d+)?)?\s*({_BASE})\b"
 _SIMPLE = rf"{_NUMBER}\s*({_UNIT})(?:\b|$)"
 _BARE = _NUMBER + r"\s*$"
+_STRENGTHS = (_PERCENT, _SHARE, _SIMPLE, _BARE)
 _NOISE = (
     r"\b(?:tab|tabs|tablet|tablets|cap|caps|capsule|capsules|syrup|inj|injection|oral|solution|drops?|cream|ointment|gel"
     r"|film[- ]?coated|uncoated)\b|\b(?:ip|i\.?p\.?|usp|bp|ep|jp|j\.?p\.?|nf|ih)\b"
 )
 
 
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c), with c worked out once however often use() names it; within functions of arrays nothing else shares it."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def _alias(names: dict[str, str], c: Column) -> Column:
-    return F.coalesce(F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[c], c)
+    return once(c, lambda x: F.coalesce(F.create_map(*[F.lit(y) for kv in names.items() for y in kv])[x], x))
 
 
 def _squeezed(c: Column) -> Column:
@@ -86,9 +93,14 @@ def _parts(c: Column) -> Column:
     def split(text: Column, by: str) -> Column:
         return F.filter(F.transform(F.split(text, by), lambda x: F.trim(x)), lambda x: x != "")
 
-    listed, commas = split(low, r"\s*[+&/]\s*|\s+with\s+"), split(low, ",")
-    told = F.forall(commas, lambda x: x.rlike(f"{_PERCENT}|{_SHARE}|{_SIMPLE}"))
-    return F.when(F.size(listed) > 1, listed).when((F.size(commas) > 1) & told, commas).otherwise(listed)
+    def by_commas(listed: Column, commas: Column) -> Column:
+        told = F.forall(commas, lambda x: x.rlike(f"{_PERCENT}|{_SHARE}|{_SIMPLE}"))
+        return F.when((F.size(commas) > 1) & told, commas).otherwise(listed)
+
+    def of(text: Column) -> Column:
+        return once(split(text, r"\s*[+&/]\s*|\s+with\s+"), lambda listed: F.when(F.size(listed) > 1, listed).otherwise(once(split(text, ","), lambda commas: by_commas(listed, commas))))
+
+    return once(low, of)
 
 
 def ingredient(c: Column) -> Column:
@@ -97,31 +109,60 @@ def ingredient(c: Column) -> Column:
     return _alias(INGREDIENTS, _squeezed(F.regexp_replace(text, "[^a-z0-9 ]+", " ")))
 
 
-def _parsed(part: Column) -> Column:
-    """A part as a struct of ingredient, strength, unit and key; strength and unit are null where it has none."""
+def _kind(part: Column) -> Column:
+    """A part with the number of the first strength's pattern that it has, from 0; the number of patterns if none."""
+    kind = F.lit(len(_STRENGTHS))
+    for i in reversed(range(len(_STRENGTHS))):
+        kind = F.when(part.rlike(_STRENGTHS[i]), i).otherwise(kind)
+    return F.struct(part.alias("part"), kind.alias("kind"))
+
+
+def _pieces(x: Column) -> Column:
+    """What stands before a part's strength and around it, and the strength's number, unit and share."""
+    part, kind = x["part"], x["kind"]
+
+    def each(at: Callable[[str], Column]) -> Column:
+        return F.coalesce(*[F.when(kind == i, at(p)) for i, p in enumerate(_STRENGTHS)])
+
     def of(pattern: str, group: int) -> Column:
         return F.regexp_extract(part, pattern, group)
 
-    has = [part.rlike(p) for p in (_PERCENT, _SHARE, _SIMPLE, _BARE)]
-    before = F.coalesce(*[F.when(h, F.trim(of(rf"^(.*?)(?:{p})", 1))) for h, p in zip(has, (_PERCENT, _SHARE, _SIMPLE, _BARE))], part)
-    rest = F.coalesce(*[F.when(h, F.trim(F.regexp_replace(part, p, ""))) for h, p in zip(has, (_PERCENT, _SHARE, _SIMPLE, _BARE))], part)
-    value = F.coalesce(*[F.when(h, of(p, 1)) for h, p in zip(has, (_PERCENT, _SHARE, _SIMPLE, _BARE))])
-    unit = _alias(UNITS, F.when(has[1], of(_SHARE, 2)).when(has[2], of(_SIMPLE, 2)).otherwise(F.lit("mg")))
-    grams = ~has[0] & (unit == "g")
-    value = _number(F.when(grams, value.try_cast("decimal(18,6)") * 1000).otherwise(value.try_cast("decimal(18,6)")).cast("string"))
+    before = F.coalesce(each(lambda p: F.trim(of(rf"^(.*?)(?:{p})", 1))), part)
+    rest = F.when(before != "", before).otherwise(F.coalesce(each(lambda p: F.trim(F.regexp_replace(part, p, ""))), part))
+    unit = F.when(kind == 0, of(_PERCENT, 2)).when(kind == 1, of(_SHARE, 2)).when(kind == 2, of(_SIMPLE, 2)).otherwise(F.lit("mg"))
+    of_share = [F.when(kind == 1, of(_SHARE, i)) for i in (3, 4)]
+    return F.struct(
+        kind.alias("kind"), rest.alias("text"), each(lambda p: of(p, 1)).alias("value"), F.when(kind == 0, unit).otherwise(_alias(UNITS, unit)).alias("unit"),
+        of_share[0].alias("per"), of_share[1].alias("of"),
+    )
+
+
+def _told(x: Column) -> Column:
+    """Ingredient, strength and unit of pieces; grams are told in milligrams."""
+    kind, unit = x["kind"], x["unit"]
+    grams = (kind != 0) & (unit == "g")
+    value = x["value"].try_cast("decimal(18,6)")
+    value = _number(F.when(grams, value * 1000).otherwise(value).cast("string"))
     unit = F.when(grams, F.lit("mg")).otherwise(unit)
-    share = F.concat(unit, F.lit("-per-"), F.coalesce(_number(F.nullif(of(_SHARE, 3), F.lit(""))), F.lit("")), _alias(UNITS, of(_SHARE, 4)))
-    unit = F.when(has[0], F.concat(F.lit("%"), of(_PERCENT, 2))).when(has[1], share).otherwise(unit)
-    unit = F.when(reduce(Column.__or__, has), unit)
-    name = ingredient(F.when(before == "", rest).otherwise(before))
-    key = F.concat_ws("-", slug(name), F.concat(value, unit))
-    return F.struct(key.alias("key"), name.alias("ingredient"), value.alias("strength"), unit.alias("unit"))
+    share = F.concat(unit, F.lit("-per-"), F.coalesce(_number(F.nullif(x["per"], F.lit(""))), F.lit("")), _alias(UNITS, x["of"]))
+    unit = F.when(kind == 0, F.concat(F.lit("%"), x["unit"])).when(kind == 1, share).when(kind < len(_STRENGTHS), unit)
+    return F.struct(ingredient(x["text"]).alias("ingredient"), value.alias("strength"), unit.alias("unit"))
+
+
+def _keyed(x: Column) -> Column:
+    key = F.concat_ws("-", slug(x["ingredient"]), F.concat(x["strength"], x["unit"]))
+    return F.struct(key.alias("key"), x["ingredient"].alias("ingredient"), x["strength"].alias("strength"), x["unit"].alias("unit"))
 
 
 def ingredients(c: Column) -> Column:
-    """A composition as array<struct<key, ingredient, strength, unit>>, sorted by key; empty where none can be read."""
-    read = F.filter(F.transform(_parts(c), _parsed), lambda x: x["ingredient"] != "")
-    return F.array_sort(read)
+    """A composition as array<struct<key, ingredient, strength, unit>>, sorted by key; empty where none can be read.
+
+    A part's strength and unit are null where it has none.
+    """
+    read = _parts(c)
+    for step in (_kind, _pieces, _told):  # one after the other, so each is worked out once a part
+        read = F.transform(read, step)
+    return F.array_sort(F.transform(F.filter(read, lambda x: x["ingredient"] != ""), _keyed))
 
 
 def salt_key(c: Column) -> Column:

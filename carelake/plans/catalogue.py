@@ -6,7 +6,7 @@ from carelake.functions import compositions as K
 from carelake.functions import text as X
 from carelake.operators import catalogue as C
 from carelake.plans.registry import query
-from carelake.sources.views import DOSES, doses, table
+from carelake.sources.views import DOSES, dealt, doses, table
 
 
 def _parts(spark, sf_dir):
@@ -198,7 +198,7 @@ def composition_keys(spark, sf_dir):
     size = F.col("p_size").cast("string")
     dose = F.when(F.col("p_size") % 3 == 0, F.concat(size, F.lit(" g"))).otherwise(F.concat(F.lit("("), size, F.lit(" MG)")))
     made = F.concat(F.lit("Vit C 0.5 g & "), F.initcap("p_name"), F.lit(" "), dose, F.lit(" with Ambroxol (30mg/5ml)"))
-    return _parts(spark, sf_dir).select(F.col("p_partkey").alias("id"), K.salt_key(made).alias("key"))
+    return dealt(_parts(spark, sf_dir), "p_partkey").select(F.col("p_partkey").alias("id"), K.salt_key(made).alias("key"))
 
 
 @query("""SELECT p_partkey AS id, p_name AS brand, CASE WHEN p_size % 2 = 0 THEN 'kit' WHEN p_size % 3 = 0 THEN 'capsule' ELSE 'syrup' END AS form FROM part""")

@@ -14,6 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt to all cores by a key, before steps that take much work a row; a small file is read by one task."""
+    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def doses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as dose logs: (id, user_id, medicine_id, scheduled_at, status, value)."""
     events = table(spark, sf_dir, "events")
