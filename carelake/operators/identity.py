@@ -42,9 +42,11 @@ def _named(names: dict[str, str], c: Column) -> Column:
 
 def base_molecule(ingredient: Column) -> Column:
     """An ingredient's molecule without salts and prefixes, under its usual name."""
-    own = K.ingredient(F.lower(ingredient))
-    bare = F.trim(F.regexp_replace(F.regexp_replace(own, BEFORE, ""), BEHIND, ""))
-    return F.coalesce(_named(MOLECULES, own), _named(K.INGREDIENTS, own), _named(MOLECULES, bare), _named(K.INGREDIENTS, bare), bare)
+    def of(own: Column) -> Column:
+        bare = F.trim(F.regexp_replace(F.regexp_replace(own, BEFORE, ""), BEHIND, ""))
+        return F.coalesce(_named(MOLECULES, own), _named(K.INGREDIENTS, own), K.once(bare, lambda x: F.coalesce(_named(MOLECULES, x), _named(K.INGREDIENTS, x), x)))
+
+    return K.once(K.ingredient(F.lower(ingredient)), of)
 
 
 def _told(ingredients: Column) -> Column:

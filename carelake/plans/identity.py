@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from carelake.operators import identity as I
 from carelake.plans.registry import query
-from carelake.sources.views import table
+from carelake.sources.views import dealt, table
 
 
 @query("""WITH p AS (SELECT p_partkey AS id, p_name, p_size, p_brand, CASE p_size % 5 WHEN 0 THEN 'match' WHEN 1 THEN 'other' WHEN 2 THEN 'strength' WHEN 3 THEN 'brand' ELSE 'nobrand' END AS kind FROM part)
@@ -15,7 +15,7 @@ def package_compatibility(spark, sf_dir):
     seen = F.when(kind == 0, F.concat(name, F.lit(" Sodium 10mg + Amoxycillin"))).when(kind == 1, F.concat(name, F.lit(" + Tinidazole"))).when(kind == 2, F.concat(name, F.lit(" 5 mg, Amoxicillin 20mg")))
     held = F.when(kind < 3, F.when(kind == 1, F.concat(F.lit("Domperidone 30mg + "), name)).when(kind == 2, F.concat(F.lit("Amoxicillin 20mg + "), name, F.lit(" 6mg"))).otherwise(F.concat(F.lit("Amoxicillin 750mg + "), name, F.lit(" 10mg"))))
     other = F.when(kind == 4, F.concat("p_brand", F.lit(" X"))).otherwise(F.upper("p_brand"))
-    told = I.compatible(table(spark, sf_dir, "part"), F.col("p_brand"), seen, other, [held, F.lit(None).cast("string")])
+    told = I.compatible(dealt(table(spark, sf_dir, "part"), "p_partkey"), F.col("p_brand"), seen, other, [held, F.lit(None).cast("string")])
     return told.select(F.col("p_partkey").alias("id"), "compatible", "reason")
 
 
@@ -40,6 +40,6 @@ def told_ingredients(spark, sf_dir):
     profile = F.when(kind == 0, one(F.lower("p_type"))).when(kind == 1, F.array().cast("array<struct<ingredient:string,strength:string,unit:string>>"))
     text = F.when(kind == 2, F.concat("p_name", F.lit(" Tablets "), F.col("p_size").cast("string"), F.lit(" mg")))
     told = I.first_told(profile, F.when(kind == 1, one(F.lit("biotin"))), [F.lit(" "), text])
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), told.alias("t"))
+    rows = dealt(table(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("id"), told.alias("t"))
     shown = F.array_join(F.transform("t.ingredients", lambda x: F.concat_ws(":", x["ingredient"], F.concat(x["strength"], x["unit"]))), ",")
     return rows.select("id", "t.source", shown.alias("told"))

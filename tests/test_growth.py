@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from carelake.functions import compositions as K
+from carelake.operators import identity as I
 from carelake.plans import registry
 
 
@@ -13,8 +14,9 @@ def _plan(df):
 def test_a_compositions_patterns_stand_in_the_plan_a_few_times(spark):
     rows = spark.createDataFrame([("Biotin 5mg",)], "c string")
     assert _plan(rows.select(K.salt_key(F.col("c")))).count("million spores?") <= 40
+    assert _plan(rows.select(I.base_molecule(F.col("c")))).count("film[- ]?coated") <= 2
 
 
 def test_parts_are_dealt_to_all_cores_before_their_compositions_are_read(spark, sf_dir):
-    for name in ("composition_keys",):
+    for name in ("composition_keys", "package_compatibility", "told_ingredients"):
         assert registry.queries()[name](spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
