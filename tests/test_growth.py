@@ -20,3 +20,10 @@ def test_a_compositions_patterns_stand_in_the_plan_a_few_times(spark):
 def test_parts_are_dealt_to_all_cores_before_their_compositions_are_read(spark, sf_dir):
     for name in ("composition_keys", "package_compatibility", "told_ingredients"):
         assert registry.queries()[name](spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_missed_doses_are_dealt_to_all_cores_and_meet_patients_before_caregivers(spark, sf_dir):
+    found = registry.queries()["consented_escalations"](spark, sf_dir)
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    plan = _plan(found)
+    assert plan.index("s_nationkey#") < plan.rindex("Join Inner, (c_custkey#")
