@@ -27,3 +27,11 @@ def test_missed_doses_are_dealt_to_all_cores_and_meet_patients_before_caregivers
     assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     plan = _plan(found)
     assert plan.index("s_nationkey#") < plan.rindex("Join Inner, (c_custkey#")
+
+
+def test_a_bills_patterns_are_looked_for_once_a_line_on_all_cores(spark, sf_dir):
+    """Filters used to repeat the patterns of all steps below them, beyond what can be compiled."""
+    found = registry.queries()["bill_medicines"](spark, sf_dir)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[|]") == 2  # in rows as printed and in lines
+    assert plan.index("Generate posexplode") < plan.index("RepartitionByExpression [l_orderkey#")
