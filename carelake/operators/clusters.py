@@ -82,8 +82,8 @@ class Leaders:
 
     def add(self, *values):
         m = dict(zip(COLUMNS, values))
-        for cluster in self.clusters:
-            if same_name(cluster["normalized"], m["normalized"]) and all(compatible(x, m) for x in cluster["members"]):
+        for cluster in self.clusters:  # names come last, as edits cost most
+            if all(compatible(x, m) for x in cluster["members"]) and same_name(cluster["normalized"], m["normalized"]):
                 self._join(cluster, m)
                 return ()
         self.clusters.append(
