@@ -63,7 +63,7 @@ def ocr_distances(spark, sf_dir):
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_name")
     seen = F.translate("p_name", "leo", "1c0")
     return part.select(
-        "id", F.round(U.ocr_distance("p_name", seen), 6).alias("distance"), U.fnv_id("p_name").alias("number"), X.compatible_form("p_name").alias("form")
+        "id", F.round(U.ocr_distance("p_name", seen), 6).alias("distance"), U.fnv_id("p_name").alias("number"), X.compatible_form(F.col("p_name")).alias("form")
     )
 
 
